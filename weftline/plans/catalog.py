@@ -19,8 +19,8 @@ def q_representative(spark: SparkSession, d: str) -> DataFrame:
 _SQL = {
     "q_representative": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY cluster_pos ORDER BY length(body) DESC, title IS NOT NULL DESC, len(links) > 0 DESC, member_pos) AS rn FROM cluster_stories),
-        l AS (SELECT cluster_pos, link, min((member_pos, i)) AS at FROM (SELECT cluster_pos, member_pos, unnest(links) AS link, generate_subscripts(links, 1) AS i FROM cluster_stories) GROUP BY ALL),
-        m AS (SELECT cluster_pos, string_agg(link, ' ' ORDER BY at) AS links FROM l GROUP BY 1),
+        l AS (SELECT cluster_pos, link, min((member_pos, i)) AS pos FROM (SELECT cluster_pos, member_pos, unnest(links) AS link, generate_subscripts(links, 1) AS i FROM cluster_stories) GROUP BY ALL),
+        m AS (SELECT cluster_pos, string_agg(link, ' ' ORDER BY pos) AS links FROM l GROUP BY 1),
         a AS (SELECT cluster_pos, min(nullif(date, '')) AS known, count(*)::INT AS source_count FROM cluster_stories GROUP BY 1)
         SELECT r.cluster_pos, title, body, coalesce(m.links, '') AS links, newsletter, coalesce(known, date) AS date, source_count, source_count > 5 AS oversized
         FROM r JOIN a USING (cluster_pos) LEFT JOIN m USING (cluster_pos) WHERE rn = 1""",
