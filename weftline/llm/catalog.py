@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import house_lines, lookalikes
+from weftline.llm import house_lines, lookalikes, packing, page_templates, residue, tokens
 from weftline.runtime import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_templates.furniture(table(spark, d, "page_stories"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return house_lines.repeated_lines(table(spark, d, "stories"), "rec_id", "newsletter", "body")
 
@@ -18,6 +22,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.variants(table(spark, d, "stories"), "rec_id", ["title", "body"]).select("rec_id", "field")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.folding import SUSPECT, letters
 from weftline.runtime import bounded_broadcast, materialize, ship
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _letters_of_lines(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in bodies:
         yield s.map(lambda b: [letters(x) for x in b.split("\n")], na_action="ignore")

@@ -16,12 +16,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.folding import SUSPECT, fold
 from weftline.runtime import materialize, ship
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in values:
         yield s.map(fold, na_action="ignore")
