@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import house_lines, lookalikes, packing, page_templates, residue, tokens
+from weftline.llm import groups, house_lines, lookalikes, packing, page_templates, residue, survivors, tokens
 from weftline.runtime import table
 
 
@@ -14,6 +14,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return page_templates.furniture(table(spark, d, "page_stories"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.groups(table(spark, d, "match_pairs"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "cluster_stories")).select("cluster_pos", "rec_id", "date")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return house_lines.repeated_lines(table(spark, d, "stories"), "rec_id", "newsletter", "body")
 
@@ -34,9 +42,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id")
 
 
+_SQL = {
+    "p3_found": """
+        WITH RECURSIVE e AS (SELECT ci AS a, cj AS b FROM match_pairs WHERE relationship = 'same_story' AND ci <> cj UNION SELECT cj, ci FROM match_pairs WHERE relationship = 'same_story' AND ci <> cj),
+        r AS (SELECT a AS root, a AS v FROM e UNION SELECT r.root, e.b FROM r JOIN e ON r.v = e.a)
+        SELECT min(v) AS group_id, root AS rec_id FROM r GROUP BY root""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
