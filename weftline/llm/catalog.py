@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import groups, house_lines, lookalikes, packing, page_templates, residue, survivors, tokens
+from weftline.llm import groups, house_lines, lookalikes, markup, packing, page_templates, residue, survivors, tokens
 from weftline.runtime import table
 
 
@@ -22,6 +22,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "cluster_stories")).select("cluster_pos", "rec_id", "date")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residues(table(spark, d, "stories"), "rec_id", ["title", "body"]).select("rec_id", "field")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean(table(spark, d, "stories").select("rec_id", "title", "body"), ["title", "body"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return house_lines.repeated_lines(table(spark, d, "stories"), "rec_id", "newsletter", "body")
 
