@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import groups, house_lines, lookalikes, markup, packing, page_templates, residue, survivors, tokens
+from weftline.llm import groups, house_lines, lookalikes, markup, packing, page_templates, residue, story_index, survivors, tokens
 from weftline.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return story_index.repeats(table(spark, d, "stories"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return page_templates.furniture(table(spark, d, "page_stories"))
 
