@@ -34,16 +34,16 @@ from pyspark.sql import types as T
 
 from weftline.llm.folding import fold
 from weftline.llm.hashing import mix, words
-from weftline.runtime import bounded_broadcast, materialize, scratch, ship
+from weftline.runtime import bounded_broadcast, drop_path, materialize, scratch, ship
 
 
 @dataclass(frozen=True)
 class Forest:
     """Production parameters. The two ``share`` bounds keep the broadcast statistics below words-per-row / share entries."""
 
-    trees: int = 12
-    least_jaccard: float = 0.35  # of the feature pairs, for which the recall target holds
-    recall: float = 0.99
+    trees: int = 8
+    least_jaccard: float = 0.4  # of the feature pairs, for which the recall target holds
+    recall: float = 0.98
     similarity: float = 0.74  # weighted containment of two tellings of one story
     rare_share: float = 0.004  # rows with a word, above which it makes no feature
     known_share: float = 0.0001  # rows with a word, below which all words weigh the same
@@ -224,89 +224,91 @@ def _similarity(shared):
     return similar
 
 
-def _prefix(depth: int) -> Column:
-    return F.shiftright("key", _SHIFT[depth])
+def _node(depth: int) -> Column:
+    """One number for a tree's node at a prefix length."""
+    return F.shiftleft(F.col("tree").cast("long"), 32) + F.shiftrightunsigned("key", 32) if depth == 1 else F.xxhash64("tree", F.shiftright("key", _SHIFT[depth]))
 
 
 class StoryIndex:
     """The persisted forest: rows of accepted stories and sorted runs of their keys."""
 
     def __init__(self, rows: DataFrame, shared, p: Forest) -> None:
-        self.spark, self.rows, self.shared, self.p = rows.sparkSession, rows, shared, p
+        self.spark, self.rows, self.p = rows.sparkSession, rows, p
         self.similar, self.runs = _similarity(shared), []
 
     def _entries(self, rows: DataFrame) -> DataFrame:
         return rows.select("id", F.posexplode("keys").alias("tree", "key"))
 
-    def accept(self, entries: DataFrame) -> None:
-        """Add a sorted run; merge the later runs when there are many. The first run, the history, is never rewritten."""
+    def accept(self, rows: DataFrame) -> None:
+        """Add the rows' keys as runs, one sorted file a task, without a shuffle; merge the later runs when there are many.
+
+        The first run, the history, is never rewritten.
+        """
+        entries = self._entries(rows).select("tree", "key", "id")
         if len(self.runs) >= self.p.max_runs:
-            entries = self.spark.read.parquet(*self.runs[1:]).unionByName(entries)
+            entries = self.spark.read.parquet(*self.runs[1:]).unionByName(entries).repartitionByRange("tree", "key")
             self.runs = self.runs[:1]
         path = scratch(self.spark, "forest-run")
-        entries.select("tree", "key", "id").repartitionByRange("tree", "key").sortWithinPartitions("tree", "key").write.parquet(path)
+        entries.sortWithinPartitions("tree", "key").write.parquet(path)
         self.runs.append(path)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """(id, first): pairs whose rows tell the same story. A small batch's pairs go to the rows, not the rows to the pairs."""
+        """(id, first): pairs whose rows tell the same story. Rows are cut to those of the pairs before they are shuffled."""
         pairs = bounded_broadcast(materialize(pairs.distinct(), "story-pairs"))
         side = self.rows.select("id", "words", "total")
         left = side.join(pairs, "id").select("id", "first", F.col("words").alias("a"), F.col("total").alias("at"))
-        if self._few:
-            left = F.broadcast(materialize(left, "story-left"))
-        both = side.select(F.col("id").alias("first"), F.col("words").alias("b"), F.col("total").alias("bt")).join(left, "first")
-        return both.where(self.similar("a", "at", "b", "bt") >= self.p.similarity).select("id", "first")
-
-    _few = False
+        wanted = pairs.select(F.col("first").alias("id")).distinct()
+        right = side.join(wanted, "id", "left_semi").select(F.col("id").alias("first"), F.col("words").alias("b"), F.col("total").alias("bt"))
+        return left.join(right, "first").where(self.similar("a", "at", "b", "bt") >= self.p.similarity).select("id", "first")
 
-    def _history(self, entries: DataFrame) -> list[DataFrame]:
-        found, open_ = [], entries
-        forest = self.spark.read.parquet(*self.runs).select(F.col("id").alias("first"), "tree", _prefix(1).alias("p"), F.col("key").alias("fkey"))
+    def _history(self, batch: DataFrame) -> list[DataFrame]:
+        """(id, first) hits by prefix length, longest first; rows found at one length aren't looked up at the next."""
+        found: list[DataFrame] = []
         for depth in self.p.depths() if self.runs else []:
-            q = bounded_broadcast(open_.select("id", "tree", "key", _prefix(1).alias("p")))
-            near = forest.join(q, ["tree", "p"])
-            if depth > 1:
-                near = near.where(F.shiftright("fkey", _SHIFT[depth]) == _prefix(depth))
-            hit = materialize(self._verified(near.select("id", "first")).groupBy("id").agg(F.min("first").alias("first")), "story-hits")
-            found.append(hit)
-            open_ = materialize(open_.join(hit, "id", "left_anti"), "story-open")
-        return [open_, *found]
-
-    def _within(self, entries: DataFrame) -> list[DataFrame]:
+            forest = self.spark.read.parquet(*self.runs).select(F.col("id").alias("first"), _node(depth).alias("node"))
+            near = forest.join(self._entries(_without(batch, found)).select("id", _node(depth).alias("node")), "node")
+            found.append(materialize(self._verified(near.select("id", "first")).groupBy("id").agg(F.min("first").alias("first")), "story-hits"))
+        return found
+
+    def _within(self, batch: DataFrame) -> list[DataFrame]:
         """(id, first) links among the rows of one batch: nodes are stars first, then pairs while small, then longer prefixes."""
-        links, depth = [], self.p.depths()[-1]
+        links, depth, entries = [], self.p.depths()[-1], self._entries(batch)
         while True:
-            keyed = entries.withColumn("p", _prefix(depth))
-            nodes = keyed.groupBy("tree", "p").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-            star = materialize(keyed.join(nodes, ["tree", "p"]), "story-nodes")
+            keyed = entries.select("id", "tree", "key", _node(depth).alias("node"))
+            nodes = keyed.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("node", "first")
+            star = materialize(keyed.join(bounded_broadcast(materialize(nodes, "story-nodes")), "node"), "story-star")
             if star.isEmpty():
                 return links
-            hit = materialize(self._verified(star.where("id <> first").select("id", "first")), "story-star")
+            hit = materialize(self._verified(star.where("id <> first").select("id", "first")), "story-links")
             links.append(hit)
-            rest = materialize(star.where("id <> first").join(hit.select("id"), "id", "left_anti").select("id", "tree", "key", "p"), "story-rest")
-            sizes = rest.groupBy("tree", "p").agg(F.count("*").alias("m")).where("m > 1")
-            rest = rest.join(sizes, ["tree", "p"])
+            rest = star.where("id <> first").join(hit.select("id").distinct(), "id", "left_anti").select("id", "tree", "key", "node")
+            sizes = rest.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+            rest = materialize(rest.join(sizes, "node"), "story-rest")
             small = rest.where(F.col("m") <= self.p.node_rows)
-            pairs = small.alias("x").join(small.alias("y"), ["tree", "p"]).where("x.id > y.id").select(F.col("x.id").alias("id"), F.col("y.id").alias("first"))
-            links.append(materialize(self._verified(pairs), "story-pairs-in"))
-            entries = materialize(rest.where(F.col("m") > self.p.node_rows).select("id", "tree", "key"), "story-large")
+            pairs = small.alias("x").join(small.alias("y"), "node").where("x.id > y.id").select(F.col("x.id").alias("id"), F.col("y.id").alias("first"))
+            links.append(materialize(self._verified(pairs), "story-links"))
+            entries = rest.where(F.col("m") > self.p.node_rows).select("id", "tree", "key")
             depth = min(3, depth + 1)
 
     def check(self, batch: DataFrame) -> DataFrame:
         """(id, first) of the rows of ``batch`` that repeat an accepted story or each other; the rest is accepted."""
-        entries = materialize(self._entries(batch), "story-entries")
-        self._few = batch.limit(50_001).count() <= 50_000
-        open_, *found = self._history(entries)
-        links = self._within(open_)
-        found = [*found, _roots(links)] if links else found
-        result = found[0]
+        found = self._history(batch)
+        links = self._within(_without(batch, found))
+        if links:
+            found.append(_roots(links))
+        self.accept(_without(batch, found))
+        result = found[0] if found else self.spark.createDataFrame([], "id long, first long")
         for f in found[1:]:
             result = result.unionByName(f)
-        result = materialize(result, "story-found")
-        self.accept(entries.join(result, "id", "left_anti"))
         return result
 
 
+def _without(batch: DataFrame, found: list[DataFrame]) -> DataFrame:
+    for f in found:
+        batch = batch.join(f.select("id"), "id", "left_anti")
+    return batch
+
+
 def _roots(links: list[DataFrame]) -> DataFrame:
     """Every linked row with the first row its links lead to."""
     both = links[0]
@@ -328,7 +330,10 @@ def prepare(df: DataFrame, key: str, body: str, source: str, batch: str, p: Fore
     kept = df.where(c(body).rlike(r"\w")).select(c(key).cast("long").alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).cast("string").alias("source"), c(body).alias("body"))
     tokens = materialize(kept.mapInPandas(_tokenise, "id long, batch int, words array<int>, lines array<long>, sizes array<int>"), "story-words")
     shared = spark.sparkContext.broadcast(statistics(tokens, p))
+    # The words in order are only needed here.
     rows = materialize(tokens.mapInPandas(_sign(shared), "id long, batch int, words array<int>, total double, keys array<long>"), "story-rows")
+    if files := tokens.inputFiles():
+        drop_path(spark, files[0].rpartition("/")[0])
     return rows, shared
 
 
@@ -346,7 +351,7 @@ def repeats(
     numbers = [r.batch for r in rows.select("batch").distinct().orderBy("batch").collect()]
     out = df.sparkSession.createDataFrame([], "id long, first long")
     if numbers:
-        index.accept(index._entries(rows.where(F.col("batch") == numbers[0]).select("id", "keys")))
+        index.accept(rows.where(F.col("batch") == numbers[0]).select("id", "keys"))
     later = numbers[1:]
     step = batches_per_check or max(1, len(later))
     for i in range(0, len(later), step):
