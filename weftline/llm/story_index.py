@@ -2,7 +2,9 @@
 
 Words: a body is folded, markup and addresses are taken out, and its words become 32-bit hashes. Lines that a newsletter
 prints again and again (counted over all rows) carry no story and are left out, unless little else is left. A word's
-weight is the square of its inverse document frequency, counted over all rows; rare words are those in few rows.
+weight is the square of its inverse document frequency; rare words are those in few rows. Frequencies are counted over
+all rows of the history, which holds each story once: counted over the arrivals too, a story told in a third of all rows
+would turn its own names into common words.
 
 Forest: the features of a story are its pairs of neighbouring rare words. ``trees`` independent permutations each give a
 key of three MinHash values (32, 16 and 16 bits), so equal leading bits mean equal leading values and each tree is a
@@ -41,9 +43,9 @@ from weftline.runtime import bounded_broadcast, drop_path, materialize, scratch,
 class Forest:
     """Production parameters. The two ``share`` bounds keep the broadcast statistics below words-per-row / share entries."""
 
-    trees: int = 8
-    least_jaccard: float = 0.4  # of the feature pairs, for which the recall target holds
-    recall: float = 0.98
+    trees: int = 12
+    least_jaccard: float = 0.35  # of the feature pairs, for which the recall target holds
+    recall: float = 0.99
     similarity: float = 0.74  # weighted containment of two tellings of one story
     rare_share: float = 0.004  # rows with a word, above which it makes no feature
     known_share: float = 0.0001  # rows with a word, below which all words weigh the same
@@ -108,7 +110,7 @@ def _flat(lists: pd.Series, dtype: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with each word (kind 0) and each line (kind 1), and rows (kind 2), summed within the task up to a bound."""
+    """History rows with each word (kind 0), rows with each line (kind 1), history rows (kind 2), summed within the task up to a bound."""
     sums: list[dict[str, list]] = [{"h": [], "n": []}, {"h": [], "n": []}]
     rows = held = 0
 
@@ -120,9 +122,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s["h"], s["n"] = [], []
 
     for b in batches:
-        rows += len(b)
-        for s, column in zip(sums, ("words", "lines")):
-            v, row = _flat(b[column], np.int64)
+        history = b[b["history"]]
+        rows += len(history)
+        for s, part, column in zip(sums, (history, b), ("words", "lines")):
+            v, row = _flat(part[column], np.int64)
             h, n = np.unique(v[_once(v, row)], return_counts=True)
             s["h"].append(h)
             s["n"].append(n)
@@ -153,7 +156,8 @@ class Statistics:
 
 
 def statistics(tokens: DataFrame, p: Forest) -> Statistics:
-    counted = materialize(tokens.select("words", "lines").mapInPandas(_count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "story-counts")
+    first = tokens.agg(F.min("batch")).first()[0]
+    counted = materialize(tokens.select("words", "lines", (F.col("batch") == first).alias("history") if first is not None else F.lit(True).alias("history")).mapInPandas(_count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "story-counts")
     rows = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     least_word, least_line = max(2, math.ceil(rows * p.known_share)), max(p.line_rows, math.ceil(rows * p.line_share))
     kept = counted.where(((F.col("kind") == 0) & (F.col("n") >= least_word)) | ((F.col("kind") == 1) & (F.col("n") >= least_line) & (F.col("h") != 0))).toPandas()

@@ -47,7 +47,7 @@ def tokenizer(path: str):
 def cut_points(data: bytes, bits: int, least: int) -> list[int]:
     """Ends of the content-defined chunks of one UTF-8 text; the last one is its length."""
     n = len(data)
-    if n <= 2 * least:
+    if n <= max(2 * least, _WINDOW):
         return [n]
     a = np.frombuffer(data, np.uint8)
     with np.errstate(over="ignore"):
