@@ -221,3 +221,33 @@ def test_stream_of_messages(spark, tmp_path):
         q.awaitTermination(120)
     assert seen == [3, 3]
     assert mail.read_eml(spark, str(tmp_path / "in")).count() == 2
+
+
+def test_prompts_and_answers(spark):
+    from weftline.operators import prompts
+
+    items_ = decisions.number(spark.createDataFrame([(0, "T", "b" * 50, "n"), (1, None, None, None), (2, "U", "c", "m")], "id long, title string, body string, newsletter string"), ["id"], 2)
+    got = {r.batch_no: (r.prompt, r.n) for r in prompts.item_prompts(items_, 5).collect()}
+    assert got == {0: ("Item 1\nTitle: T\nNewsletter: n\nBody: bbbbb\n\nItem 2\nNewsletter: \nBody: ", 2), 1: ("Item 1\nTitle: U\nNewsletter: m\nBody: c", 1)}
+    said = spark.createDataFrame([(0, '{"decisions": [{"keep": true}, {"keep": false, "confidence": "borderline", "reasoning": "r"}]}'), (1, "no json"), (2, None)], "batch_no long, answer string")
+    rows = {(r.batch_no, r.pos): (r.ok, r.keep, r.confidence) for r in prompts.read_answers(said, "filter").collect()}
+    assert rows == {(0, 0): (True, True, None), (0, 1): (True, False, "borderline"), (1, 0): (False, None, None), (2, 0): (False, None, None)}
+    assert prompts.answer_schema("pairs")["properties"]["decisions"]["items"]["properties"]["relationship"]["enum"][0] == "same_story"
+    assert "robots" in prompts.filter_text("robots")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from weftline.__main__ import main
+
+    (tmp_path / "a.eml").write_text(RAW)
+    today = dt.date.today()
+    span = ["--start", (today - dt.timedelta(2)).isoformat(), "--end", (today + dt.timedelta(2)).isoformat()]
+    assert main(["--messages", str(tmp_path), "--folder", "News", *span]) == 0
+    assert json.loads(capsys.readouterr().out)["story_count"] >= 2
+
+
+def test_live_mailbox_source_is_described(spark):
+    source = mail.imap_source()
+    assert source.name() == "weftline_imap" and source({}).schema().startswith("msg_pos long")
+    assert mail.imap_date(b'1 (UID 5 INTERNALDATE " 3-Feb-2026 10:00:00 +0000" BODY[] {10}') == dt.date(2026, 2, 3)
+    spark.dataSource.register(source)

@@ -55,3 +55,39 @@ def is_boilerplate_url(url: Column) -> Column:
     for x in MANAGING:
         out = out | F.contains(low, F.lit(x))
     return out
+
+
+# Anchors of links that lead to no story, and parts of such anchors.
+ANCHORS = [
+    "unsubscribe", "opt out", "opt-out",
+    "manage preferences", "update preferences", "email preferences",
+    "view online", "view in browser", "view as web page", "view this email",
+    "read online", "read in browser",
+    "privacy policy", "privacy notice",
+    "terms of service", "terms of use", "terms & conditions",
+    "all rights reserved",
+    "contact us", "forward to a friend",
+    "advertise", "advertise with us",
+    "sponsored", "sponsor", "advertisement", "ad", "advertorial",
+    "presented by", "powered by", "brought to you by",
+    "facebook", "twitter", "linkedin", "instagram", "youtube",
+    "tweet this", "share on twitter", "share on facebook",
+    "share", "tweet", "retweet", "pin", "pin it",
+    "subscribe", "home", "about", "archive", "archives", "blog", "newsletter",
+    "back", "back to top", "next", "previous",
+    "read more", "learn more", "click here", "here", "more", "see more",
+    "find out more", "get started", "sign up", "try now", "try for free",
+    "try it free", "try it now", "buy now", "shop now", "download now",
+]
+ANCHOR_PARTS = ["your preferences", "your subscription", "your email preferences", "manage your email", "manage your subscriptions"]
+
+
+def is_boilerplate_link(url: Column, anchor: Column) -> Column:
+    """A footer or navigation link, told by its address or anchor. A utility: segmentation judges by address alone."""
+    low, a = F.lower(url), F.lower(F.regexp_replace(anchor, r"(?U)^\s+|\s+\z", ""))
+    out = a.isin(ANCHORS)
+    for x in MANAGING:
+        out = out | F.contains(low, F.lit(x))
+    for x in ANCHOR_PARTS:
+        out = out | F.contains(a, F.lit(x))
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftline.config import Settings
 from weftline.functions import text as t
 from weftline.functions import urls
-from weftline.operators import components, decisions, segments, similarity
+from weftline.operators import components, decisions, prompts, segments, similarity
 from weftline.operators import representative as rep
 from weftline.plans import digest
 from weftline.runtime import materialize, table
@@ -111,6 +111,12 @@ def q_url_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d).select("rec_id", "pos", urls.is_boilerplate_url(_variant(F.col("url"), F.col("rec_id") + F.col("pos"))).alias("boilerplate"))
 
 
+def q_boilerplate_link(spark: SparkSession, d: str) -> DataFrame:
+    anchor = F.when(F.col("rec_id") % 5 == 0, F.lit(" Read More ")).when(F.col("rec_id") % 5 == 1, F.lit("Manage your subscriptions here")).otherwise(F.coalesce("title", F.lit("")))
+    s = _q(spark, d, "stories").select("rec_id", F.posexplode("links").alias("pos", "url"), anchor.alias("anchor"))
+    return s.select("rec_id", "pos", urls.is_boilerplate_link(F.col("url"), F.col("anchor")).alias("boilerplate"))
+
+
 # Segmentation
 
 
@@ -235,6 +241,28 @@ def q_prompts(spark: SparkSession, d: str) -> DataFrame:
     return decisions.prompts(_items(spark, d), 100, "title", "text")
 
 
+def q_item_prompts(spark: SparkSession, d: str) -> DataFrame:
+    items = decisions.number(_q(spark, d, "cluster_stories").select("rec_id", "title", "body", "newsletter"), ["rec_id"], Settings.filter_batch)
+    return prompts.item_prompts(items, Settings.filter_chars, "Story")
+
+
+def q_pair_prompts(spark: SparkSession, d: str) -> DataFrame:
+    c = _q(spark, d, "cluster_stories")
+    pairs = components.pairs_in_cluster(c)
+    for side, s in (("i", "a"), ("j", "b")):
+        pairs = pairs.join(c.select("cluster_pos", F.col("member_pos").alias(side), *(F.col(x).alias(f"{x}_{s}") for x in ("title", "body", "newsletter"))), ["cluster_pos", side])
+    return prompts.pair_prompts(decisions.number(pairs, ["cluster_pos", "i", "j"], Settings.pair_batch), Settings.pair_chars)
+
+
+def q_read_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers as JSON, one a batch, every eleventh cut off; read back as decisions."""
+    items = _items(spark, d)
+    one = F.struct((F.length("text") < 200).alias("is_noise"))
+    said = items.groupBy("batch_no").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("d")))), lambda x: x["d"]).alias("decisions")), {"ignoreNullFields": "false"}).alias("answer"))
+    cut = said.select("batch_no", F.when(F.col("batch_no") % 11 == 10, F.substring("answer", 1, 20)).otherwise(F.col("answer")).alias("answer"))
+    return prompts.read_answers(cut, "noise")
+
+
 # Similarity and clusters
 
 
@@ -353,6 +381,13 @@ _SQL = {
     "q_editorial": f"WITH {_EDITED} SELECT cluster_pos, keep, confidence, reasoning FROM e",
     "q_flags": f"WITH {_EDITED} SELECT CASE WHEN keep THEN 'KEEP' ELSE 'DROP' END AS decision, confidence, reasoning AS llm_reasoning, title, length(body)::INT AS chars, links[1] AS link, date FROM e WHERE confidence = 'borderline'",
     "q_prompts": "SELECT n // 30 AS batch_no, string_agg('[' || (n % 30 + 1) || '] ' || coalesce('Title: ' || title || chr(10), '') || coalesce(left(text, 100), ''), chr(10) || chr(10) ORDER BY n) AS prompt FROM (SELECT title, text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY 1",
+    "q_boilerplate_link": f"""SELECT rec_id, pos, list_contains({urls.ANCHORS!r}, lower(trim(a))) OR len(list_filter({urls.MANAGING!r}, lambda m: contains(lower(url), m))) > 0 OR len(list_filter({urls.ANCHOR_PARTS!r}, lambda m: contains(lower(a), m))) > 0 AS boilerplate
+        FROM (SELECT rec_id, unnest(links) AS url, (generate_subscripts(links, 1) - 1)::INT AS pos, CASE rec_id % 5 WHEN 0 THEN ' Read More ' WHEN 1 THEN 'Manage your subscriptions here' ELSE coalesce(title, '') END AS a FROM stories)""",
+    "q_item_prompts": "SELECT n // 25 AS batch_no, string_agg('Story ' || (n % 25 + 1) || chr(10) || coalesce('Title: ' || title || chr(10), '') || 'Newsletter: ' || newsletter || chr(10) || 'Body: ' || left(body, 300), chr(10) || chr(10) ORDER BY n) AS prompt, count(*)::INT AS n FROM (SELECT *, row_number() OVER (ORDER BY rec_id) - 1 AS n FROM cluster_stories) GROUP BY n // 25",
+    "q_pair_prompts": """WITH p AS (SELECT x.title AS ta, x.body AS ba, x.newsletter AS na, y.title AS tb, y.body AS bb, y.newsletter AS nb, row_number() OVER (ORDER BY x.cluster_pos, x.member_pos, y.member_pos) - 1 AS k FROM cluster_stories x JOIN cluster_stories y ON x.cluster_pos = y.cluster_pos AND x.member_pos < y.member_pos)
+        SELECT k // 20 AS batch_no, string_agg('Pair ' || (k % 20 + 1) || chr(10) || 'A' || chr(10) || coalesce('  Title: ' || ta || chr(10), '') || '  Newsletter: ' || na || chr(10) || '  Body: ' || left(ba, 350) || chr(10) || 'B' || chr(10) || coalesce('  Title: ' || tb || chr(10), '') || '  Newsletter: ' || nb || chr(10) || '  Body: ' || left(bb, 350), chr(10) || chr(10) ORDER BY k) AS prompt, count(*)::INT AS n FROM p GROUP BY 1""",
+    "q_read_answers": """WITH x AS (SELECT length(text) < 200 AS is_noise, n // 30 AS batch_no, n % 30 AS pos FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents))
+        SELECT batch_no, pos, true AS ok, is_noise FROM x WHERE batch_no % 11 <> 10 UNION ALL SELECT DISTINCT batch_no, 0, false, NULL::BOOLEAN FROM x WHERE batch_no % 11 = 10""",
     "q_cosine_pairs": "SELECT x.vec_id AS i, y.vec_id AS j, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4",
     "q_communities": """WITH nb AS (SELECT x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS cos FROM embeddings x, embeddings y WHERE x.vec_id = y.vec_id OR list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35),
         s AS (SELECT *, count(*) OVER (PARTITION BY i) AS sz FROM nb), a AS (SELECT j AS id, i AS center, cos, sz FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY sz DESC, i) AS rn FROM s) WHERE rn = 1),
