@@ -1 +1,13 @@
+"""Functions from columns to columns."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often ``body`` uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions import let
+
 # Phrases of segments that only run the subscription.
 SEGMENT_SIGNALS = [
     "manage your subscriptions",
@@ -36,7 +38,7 @@ LINK = r"\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*)\]\((https?://[^\)]+)\)"
 
 def strip(c: Column) -> Column:
     """Both ends without any Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.when(c.rlike(r"(?U)^\s|\s\z"), F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")).otherwise(c)
 
 
 def lines(c: Column) -> Column:
@@ -45,7 +47,7 @@ def lines(c: Column) -> Column:
 
 
 def strip_links(c: Column) -> Column:
-    return strip(F.regexp_replace(c, LINK, "$1"))
+    return let(F.when(F.contains(c, F.lit("](")), F.regexp_replace(c, LINK, "$1")).otherwise(c), strip)
 
 
 def pipe_share_over(c: Column, limit: float = 0.15) -> Column:
@@ -83,40 +85,50 @@ def _bare_heading(line: Column) -> Column:
 
 def is_story_heading(c: Column) -> Column:
     """One of the first two non-blank lines is a heading that isn't wholly bold."""
-    ls = lines(strip(c))
-    return _bare_heading(F.get(ls, F.lit(0))) | _bare_heading(F.get(ls, F.lit(1)))
+    # Without a '#' at the start of a line there is nothing to look at.
+    return F.contains(c, F.lit("#")) & let(F.slice(lines(c), 1, 2), lambda ls: _bare_heading(F.get(ls, F.lit(0))) | _bare_heading(F.get(ls, F.lit(1))))
 
 
 def is_heading_only(c: Column) -> Column:
-    return F.forall(lines(strip(c)), lambda x: F.startswith(x, F.lit("#")))
+    return F.when(F.startswith(c, F.lit("#")) | ~c.rlike(r"(?U)^\S"), F.forall(lines(c), lambda x: F.startswith(x, F.lit("#")))).otherwise(False)
 
 
 def title_and_body(c: Column) -> Column:
     """struct<title, body>: a heading or a wholly bold first line, or a heading right after the first line, becomes the title."""
-    ls = F.split(c, "\n")
-    at = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), lambda x: x["s"] != "")
-    one, two = F.get(at, F.lit(0)), F.get(at, F.lit(1))
-    heading = lambda s: strip(F.regexp_replace(s, "^#+", ""))
-    after = lambda i: strip(F.array_join(F.slice(ls, i + 2, F.greatest(F.size(ls) - i - 1, F.lit(0))), "\n"))
-    before = lambda i: strip(F.array_join(F.slice(ls, 1, i), "\n"))
-    made = lambda t, b: F.struct(F.nullif(t, F.lit("")).alias("title"), b.alias("body"))
-    return (
-        F.when(F.startswith(one["s"], F.lit("#")), made(heading(one["s"]), after(one["i"])))
-        .when(_bold(one["s"]), made(strip(F.substr(one["s"], F.lit(3), F.length(one["s"]) - 4)), after(one["i"])))
-        .when(_bare_heading(two["s"]), made(heading(two["s"]), strip(F.concat(before(two["i"]), F.lit("\n\n"), after(two["i"])))))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("title"), c.alias("body")))
-    )
+
+    def parted(ls: Column) -> Column:
+        at = F.slice(F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), lambda x: x["s"] != ""), 1, 2)
+        after = lambda i: strip(F.array_join(F.slice(ls, i + 2, F.greatest(F.size(ls) - i - 1, F.lit(0))), "\n"))
+        before = lambda i: strip(F.array_join(F.slice(ls, 1, i), "\n"))
+        heading = lambda s: strip(F.regexp_replace(s, "^#+", ""))
+        made = lambda t, b: F.struct(F.nullif(t, F.lit("")).alias("title"), b.alias("body"))
+
+        def chosen(two: Column) -> Column:
+            one, nxt = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+            return (
+                F.when(F.startswith(one["s"], F.lit("#")), made(heading(one["s"]), after(one["i"])))
+                .when(_bold(one["s"]), made(strip(F.substr(one["s"], F.lit(3), F.length(one["s"]) - 4)), after(one["i"])))
+                .when(_bare_heading(nxt["s"]), made(heading(nxt["s"]), strip(F.concat(before(nxt["i"]), F.lit("\n\n"), after(nxt["i"])))))
+                .otherwise(F.struct(F.lit(None).cast("string").alias("title"), c.alias("body")))
+            )
+
+        return let(at, chosen)
+
+    return let(F.split(c, "\n"), parted)
 
 
 def clean_body(c: Column) -> Column:
     """Story body without layout artefacts: pipes at its ends, empty emphasis, trailing table lines, trailing blanks."""
-    t = F.regexp_replace(drop_leading_pipe(c), r"\*{4,}", "")
-    t = strip(F.regexp_replace(t, r"(?U)(\s*\|)+\s*\z", ""))
-    ls = F.split(t, "\n")
-    artefact = lambda x: (strip(x) != "") & (pipe_share_over(strip(x)) | strip(x).rlike(r"(?U)^\|[\s\|]+\S"))
-    keep = F.coalesce(F.array_max(F.filter(F.transform(ls, lambda x, i: F.when(~artefact(x), i + 1)), lambda i: i.isNotNull())), F.lit(0))
-    t = strip(F.array_join(F.slice(ls, 1, keep), "\n"))
-    return F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")), "\n")
+    artefact = lambda x: (x != "") & (pipe_share_over(x) | x.rlike(r"(?U)^\|[\s\|]+\S"))
+
+    def trailing(ls: Column) -> Column:
+        keep = F.array_max(F.filter(F.transform(ls, lambda x, i: F.when(~let(strip(x), artefact), i + 1)), lambda i: i.isNotNull()))
+        return F.array_join(F.slice(ls, 1, F.coalesce(keep, F.lit(0))), "\n")
+
+    t = let(drop_leading_pipe(c), lambda x: F.regexp_replace(x, r"\*{4,}", ""))
+    # Pipes only stand at the end of what holds any.
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("|")), let(strip(F.regexp_replace(x, r"(?U)(\s*\|)+\s*\z", "")), lambda y: trailing(F.split(y, "\n")))).otherwise(x))
+    return let(t, lambda x: F.array_join(F.transform(F.split(strip(x), "\n"), lambda y: F.rtrim(F.regexp_replace(y, r"(?U)\s+\z", ""))), "\n"))
 
 
 _BOLD = (r"\*\*([^*\n]+)\*\*", r"__([^_\n]+)__")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions import let
+
 # Parameters that only track, parts of addresses that manage a subscription, social hosts.
 TRACKING = ["fbclid", "gclid", "msclkid", "yclid", "twclid", "igshid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "mkt_tok", "li_fat_id", "ref"]
 MANAGING = ["unsubscribe", "optout", "opt-out", "manage-subscription", "email-preference", "email-prefs", "email-settings"]
@@ -29,23 +31,34 @@ def _encode(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _query(raw: Column) -> Column:
+    """The parameters that stay, encoded again, equal keys together at the first one's place."""
+    decoded = F.transform(F.filter(F.split(raw, "&"), lambda x: x.rlike("^[^=]*=(?s:.)")), lambda x: F.struct(_decode(F.substring_index(x, "=", 1)).alias("k"), _decode(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    pairs = F.filter(decoded, lambda p: ~F.startswith(p["k"], F.lit("utm_")) & ~p["k"].isin(TRACKING))
+
+    def grouped(p: Column) -> Column:
+        keys = F.array_distinct(F.transform(p, lambda x: x["k"]))
+        return F.when(F.size(keys) == F.size(p), p).otherwise(F.flatten(F.transform(keys, lambda k: F.filter(p, lambda x: x["k"] == k))))
+
+    return F.array_join(F.transform(let(pairs, grouped), lambda x: F.concat(_encode(x["k"]), F.lit("="), _encode(x["v"]))), "&")
+
+
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and host, no trailing slash, fragment, blank or tracking parameter; repeated keys stand together."""
-    pairs = F.filter(
-        F.transform(F.split(_part(url, 5), "&"), lambda x: F.struct(_decode(F.regexp_extract(x, r"^([^=]*)=", 1)).alias("k"), _decode(F.regexp_extract(x, r"^[^=]*=((?s:.*))\z", 1)).alias("v"))),
-        lambda p: (p["v"] != "") & ~F.startswith(p["k"], F.lit("utm_")) & ~p["k"].isin(TRACKING),
-    )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    grouped = F.flatten(F.transform(keys, lambda k: F.filter(pairs, lambda p: p["k"] == k)))
-    query = F.array_join(F.transform(grouped, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
-    path = F.regexp_replace(_part(url, 3), "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    scheme = F.lower(_part(url, 1))
-    return F.when(url.rlike(_SPLIT), F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(authority(url) != "", F.concat(F.lit("//"), authority(url))).otherwise(F.lit("")),
-        path, _part(url, 4), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )).otherwise(url)
+    parts = F.struct(*(_part(url, i).alias(f"p{i}") for i in range(1, 6)))
+
+    def build(p: Column) -> Column:
+        path = F.regexp_replace(p["p3"], "/+$", "")
+        query = F.when(p["p5"] != "", _query(p["p5"])).otherwise(F.lit(""))
+        return F.concat(
+            F.when(p["p1"] != "", F.concat(F.lower(p["p1"]), F.lit(":"))).otherwise(F.lit("")),
+            F.when(p["p2"] != "", F.concat(F.lit("//"), F.lower(p["p2"]))).otherwise(F.lit("")),
+            F.when(path == "", F.lit("/")).otherwise(path), p["p4"],
+            let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))),
+        )
+
+    # The pattern matches every string, so nothing is left to fall back to.
+    return let(parts, build)
 
 
 def is_boilerplate_url(url: Column) -> Column:

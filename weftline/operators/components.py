@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.numbering import number_rows
 from weftline.runtime import materialize
 
 
@@ -44,7 +45,8 @@ def refine(clusters: DataFrame, decided: DataFrame, cluster: str = "cluster_pos"
     rows = clusters.select(cluster, member).join(intact, cluster, "left").join(labels, [cluster, member], "left")
     part = F.when(F.coalesce("intact", F.lit(False)), F.lit(0)).otherwise(F.coalesce("part", member))
     rows = rows.select(cluster, member, part.alias("part"))
-    heads = rows.select(cluster, "part").distinct().withColumn("new_cluster", F.row_number().over(Window.orderBy(cluster, "part")) - 1)
+    heads = rows.select(cluster, "part").distinct()
+    heads = number_rows(heads, [cluster, "part"], "new_cluster")
     return rows.join(heads, [cluster, "part"]).select(cluster, member, "new_cluster", (F.row_number().over(Window.partitionBy(cluster, "part").orderBy(member)) - 1).alias("new_member"))
 
 

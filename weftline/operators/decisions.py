@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.numbering import number_rows
 from weftline.runtime import materialize
 
 
@@ -61,14 +62,9 @@ class BatchProvider:
 
 
 def number(items: DataFrame, order: list[str], size: int) -> DataFrame:
-    """``items`` with batch_no and pos by global position; partitions are numbered on their own and shifted, so no task holds all rows."""
-    placed = materialize(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part, row = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    # One row a partition.
-    shift = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))
-    seq = placed.withColumn("_p", part).withColumn("_r", row).join(F.broadcast(shift), "_p").withColumn("_seq", F.col("_r") + F.col("_s"))
-    return seq.withColumn("batch_no", F.floor(F.col("_seq") / size).cast("long")).withColumn("pos", F.col("_seq") % size).drop("_at", "_p", "_r", "_s", "_seq")
+    """``items`` with batch_no and pos by global position."""
+    rows = number_rows(items, order, "_seq")
+    return rows.withColumn("batch_no", F.floor(F.col("_seq") / size).cast("long")).withColumn("pos", F.col("_seq") % size).drop("_seq")
 
 
 def fail_open(items: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import let
 from weftline.functions import text as t
 from weftline.functions.urls import is_boilerplate_url, normalize_url
 
@@ -24,11 +25,8 @@ def split_sections(df: DataFrame, markdown: str = "markdown") -> DataFrame:
 
 def section_kind(text: Column) -> Column:
     """S story heading, H category heading, X links without text, B breaker, null for everything a story may absorb."""
-    clean = t.strip_links(text)
-    return (
-        F.when(t.is_story_heading(text), "S").when(t.is_heading_only(text), "H")
-        .when((clean == "") & text.rlike(t.LINK), "X").when(t.pipe_share_over(clean) | (F.length(clean) < MIN_SECTION), "B")
-    )
+    kind = lambda c: F.when((c == "") & F.contains(text, F.lit("](")), "X").when(t.pipe_share_over(c) | (F.length(c) < MIN_SECTION), "B")
+    return F.when(t.is_story_heading(text), "S").when(t.is_heading_only(text), "H").otherwise(let(t.strip_links(text), kind))
 
 
 def reassemble(sections: DataFrame, message: str = "msg_pos") -> DataFrame:
@@ -49,8 +47,14 @@ def links_of(text: Column) -> Column:
     """array<struct<url, anchor_text>>: normalised, without boilerplate, first-seen order, longest anchor of equal addresses."""
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(t.LINK), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(t.LINK), F.lit(2)).alias("u"))
     good = F.transform(F.filter(found, lambda x: ~is_boilerplate_url(x["u"])), lambda x: F.struct(normalize_url(x["u"]).alias("url"), x["a"].alias("anchor_text")))
-    longest = lambda url: F.aggregate(F.filter(good, lambda g: g["url"] == url), F.lit(""), lambda acc, g: F.when(F.length(g["anchor_text"]) > F.length(acc), g["anchor_text"]).otherwise(acc))
-    return F.transform(F.array_distinct(F.transform(good, lambda g: g["url"])), lambda u: F.struct(u.alias("url"), longest(u).alias("anchor_text")))
+
+    def best(g: Column) -> Column:
+        urls = F.array_distinct(F.transform(g, lambda x: x["url"]))
+        longest = lambda url: F.aggregate(g, F.lit(""), lambda acc, x: F.when((x["url"] == url) & (F.length(x["anchor_text"]) > F.length(acc)), x["anchor_text"]).otherwise(acc))
+        return F.transform(urls, lambda u: F.struct(u.alias("url"), longest(u).alias("anchor_text")))
+
+    none = F.array().cast("array<struct<url:string,anchor_text:string>>")
+    return F.when(F.contains(text, F.lit("](")), let(good, best)).otherwise(none)
 
 
 def list_items(text: Column) -> Column:
@@ -58,7 +62,7 @@ def list_items(text: Column) -> Column:
     raw = F.split(text, BULLET)
     items = F.transform(F.slice(raw, 2, F.greatest(F.size(raw) - 1, F.lit(0))), lambda x: F.struct(t.strip_links(t.strip(x)).alias("text"), links_of(x).alias("links")))
     kept = F.filter(items, lambda i: F.length(i["text"]) >= MIN_ITEM)
-    return F.when(F.size(F.filter(kept, lambda i: F.size(i["links"]) > 0)) >= 2, kept)
+    return let(kept, lambda k: F.when(F.size(F.filter(k, lambda i: F.size(i["links"]) > 0)) >= 2, k))
 
 
 def sections(merged: DataFrame, message: str = "msg_pos") -> DataFrame:

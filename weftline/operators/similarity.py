@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.numbering import number_rows
+
 
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """(i, j, cos) of all pairs with cosine >= ``threshold``, in both orders and with itself; exact, in double precision.
@@ -47,9 +49,8 @@ def communities(pairs: DataFrame) -> DataFrame:
     sized = pairs.join(sizes, "i")
     own = sized.groupBy("j").agg(F.min(F.struct((-F.col("sz")).alias("n"), "i", "cos")).alias("best"))
     rows = own.select(F.col("j").alias("id"), F.col("best.i").alias("center"), F.col("best.cos").alias("cos"), (-F.col("best.n")).alias("sz"))
-    # Only one row a community is ordered globally.
     heads = rows.groupBy("center").agg(F.count("*").alias("size"), F.first("sz").alias("sz"))
-    ranked = heads.withColumn("cluster_pos", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("sz"), "center")) - 1)
+    ranked = number_rows(heads, [F.desc("size"), F.desc("sz"), F.col("center")], "cluster_pos")
     member = Window.partitionBy("center").orderBy(F.desc("cos"), "id")
     return rows.join(ranked.select("center", "cluster_pos"), "center").select("id", "center", "cluster_pos", (F.row_number().over(member) - 1).alias("member_pos"))
 

@@ -258,4 +258,9 @@ def parse_mime(messages: DataFrame) -> DataFrame:
                 rows.append(r)
             yield pd.DataFrame(rows, columns=["msg_pos", "newsletter", "date", "plain", "html", "has_text", "markdown"])
 
-    return messages.select("msg_pos", "raw").mapInPandas(run, schemas.MIME)
+    rows = messages.select("msg_pos", "raw")
+    wide = messages.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < wide:
+        # Parsing costs far more than reading, so a small input is spread over all cores first.
+        rows = rows.repartition(wide, "msg_pos")
+    return rows.mapInPandas(run, schemas.MIME)
