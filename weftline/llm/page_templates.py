@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import let
 from weftline.runtime import bounded_broadcast, materialize
 
 # Function words that tell the language of a host.
@@ -47,14 +48,26 @@ def mask(line: Column) -> Column:
 def _opening(masked: Column) -> Column:
     """Up to the first separator within the first five words, or a leading list number; null without one."""
     o = F.regexp_extract(masked, r"^(?:0[.)](?=\s)|(?:[^\s\[:]+ ?){0,4}?[^\s\[:]*:(?=\s)|(?:[^\s\[|/»>—–·]+ ){1,3}[|/»>—–·](?=\s))", 0)
-    return F.nullif(o, F.lit(""))
+    return F.when(masked.rlike(r"^(?:0[.)]|[^:|/»>—–·]{0,120}[:|/»>—–·])"), F.nullif(o, F.lit("")))
 
 
-def _self_reference(line: Column, site: Column) -> Column:
-    """Names its own site: the host itself outside a link target, or its label as two words."""
-    bare = F.lower(F.regexp_replace(line, r"\]\([^)]*\)|https?://\S+", "]"))
-    label = F.regexp_extract(site, r"^(?:www\.)?([^.]+)", 1)
-    return F.contains(bare, F.lower(site)) | (F.contains(label, F.lit("-")) & F.contains(bare, F.replace(F.lower(label), F.lit("-"), F.lit(" "))))
+def _names(site: Column) -> Column:
+    """What a line may call its own site: the host, or its label as words."""
+    label = F.lower(F.regexp_extract(site, r"^(?:www\.)?([^.]+)", 1))
+    both = F.array(F.lower(site), F.when(F.contains(label, F.lit("-")), F.replace(label, F.lit("-"), F.lit(" "))))
+    return F.filter(both, lambda n: n.isNotNull())
+
+
+def _self_reference(line: Column, names: Column) -> Column:
+    """Names its own site outside a link target."""
+    within = lambda text: F.exists(names, lambda n: F.contains(text, n))
+    return F.when(within(F.lower(line)), within(F.lower(F.regexp_replace(line, r"\]\([^)]*\)|https?://\S+", "]")))).otherwise(False)
+
+
+def _languages(masked: Column) -> Column:
+    """struct with the number of different function words of each language."""
+    known = F.filter(F.split(F.lower(masked), r"\s+"), lambda w: w.isin([w for ws in FUNCTION_WORDS.values() for w in ws]))
+    return let(known, lambda k: F.struct(*(F.size(F.array_intersect(k, F.array(*map(F.lit, ws)))).alias(g) for g, ws in FUNCTION_WORDS.items())))
 
 
 def host(url: Column) -> Column:
@@ -79,19 +92,21 @@ def furniture(
     c = lambda n: F.col(f"`{n}`")
     base = pages.select(c(key).alias("_id"), F.coalesce(c(site), F.lit("")).alias("_site"), F.coalesce(c(body), F.lit("")).alias("_body"), F.coalesce(c(links), _empty()).alias("_links"), F.trim(F.coalesce(c(title), F.lit(""))).alias("_title"))
     words = F.split(F.col("_m"), r"\s+")
+    base = base.withColumn("_names", _names(F.col("_site")))
     lines = (
-        base.select("_id", "_site", "_title", F.filter(F.transform(F.split("_body", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"\S")).alias("_all"))
-        .select("_id", "_site", "_title", "_all", F.posexplode("_all").alias("_j", "_l"))
-        .select("_id", "_site", "_title", F.col("_l.pos").alias("pos"), F.col("_l.line").alias("_line"), F.get("_all", F.col("_j") + 1)["pos"].alias("next"))
+        base.select("_id", "_site", "_title", "_names", F.filter(F.transform(F.split("_body", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"\S")).alias("_all"))
+        .select("_id", "_site", "_title", "_names", "_all", F.posexplode("_all").alias("_j", "_l"))
+        .select("_id", "_site", "_title", "_names", F.col("_l.pos").alias("pos"), F.col("_l.line").alias("_line"), F.get("_all", F.col("_j") + 1)["pos"].alias("next"))
         .withColumn("_m", mask(F.col("_line")))
         .withColumn("_w", words)
         .select(
             "_id", "_site", "pos", "next", F.xxhash64(F.concat_ws(" ", F.slice("_w", F.greatest(F.size("_w") - 1, F.lit(1)), 2))).alias("ending"),
             F.filter(F.array(_token("L", F.col("_m")), _token("S", _opening(F.col("_m"))), _token("W", F.when(F.size("_w") > 2, F.concat_ws(" ", F.slice("_w", 1, 2))))), lambda t: t.isNotNull()).alias("toks"),
-            _self_reference(F.col("_line"), F.col("_site")).alias("own"),
+            _self_reference(F.col("_line"), F.col("_names")).alias("own"),
             (F.trim("_line") == F.col("_title")).alias("head"),
-            *(F.size(F.array_intersect(F.transform("_w", F.lower), F.array(*map(F.lit, ws)))).alias(g) for g, ws in FUNCTION_WORDS.items()),
+            _languages(F.col("_m")).alias("fw"),
         )
+        .select("*", "fw.*").drop("fw")
     )
     lines = materialize(lines, "page-lines")
     hosts = base.select("_id", "_site", F.explode(F.array_distinct(F.transform("_links", host))).alias("_h")).where("_h <> '' AND _h <> lower(_site)")
