@@ -272,6 +272,32 @@ def test_residue_passes_to_near_copies(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_residue_finds_near_copies_at_production_parameters(spark):
+    """Copies of a labelled page with words changed, down to 5-word Jaccard 0.8, and copies of such a copy; not those below."""
+    rng, rows, want, below = random.Random(4), [], set(), set()
+    words = lambda n: ["".join(rng.choices("bcdfglmnprstvw", k=7)) for _ in range(n)]
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    near = lambda a, b: len(five(a) & five(b)) >= 0.8 * len(five(a) | five(b))
+    for k in range(0, 4000, 100):
+        # Without its second word a copy isn't labelled by the rules.
+        page = ["lorem", "ipsum", *words(58), "ends.", *words(150)]
+        pages = [page]
+        rows.append((k, " ".join(page)))
+        for n in range(1, 13):
+            copy = list(pages[-1] if n % 6 == 0 else page)
+            for i in [1, *rng.sample(range(6, 60), n % 6)]:
+                copy[i] = words(1)[0]
+            rows.append((k + n, " ".join(copy)))
+            if any(near(copy, p) for p in pages):
+                pages.append(copy)
+                want.add(k + n)
+            else:
+                below.add(k + n)
+    assert all((residue.label(x) == "message") == (i % 100 == 0) for i, x in rows)
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 350 and below and want <= got and not below & got
+
+
 # Pages
 
 
