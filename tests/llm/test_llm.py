@@ -374,6 +374,17 @@ def test_a_story_told_by_a_third_of_all_rows(spark):
     assert got == {60 + i: 60 for i in range(3, 120, 3)}
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_variants_of_a_story_told_again_and_again(spark, first):
+    """The hot story is told first in the history or later, then 40 times in one newsletter, each time with other added lines; house lines still don't matter."""
+    hot, house = story(1), "You are reading the letter of the briskdun works, written in marmi heights for people in broadcasting."
+    rows = [(i, 0, "n", "\n".join([*story(i + 10), house])) for i in range(60)] + [(60, first, "n", "\n".join(hot))]
+    rows += [(61 + i, 1, "n", "\n".join([*(hot if i % 3 == 0 else story(500 + i)), *(story(900 + i, 1 + i % 2) if i % 3 == 0 else [house])])) for i in range(120)]
+    df = spark.createDataFrame(rows, "rec_id long, batch_no int, newsletter string, body string")
+    got = {r.rec_id: r.first_rec_id for r in story_index.repeats(df).collect()}
+    assert got == {61 + i: 60 for i in range(0, 120, 3)}
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 

@@ -1,7 +1,10 @@
 """Problem 1: each new batch checked against everything accepted before, with a persisted prefix-tree hash forest.
 
 Words: a body is folded, markup and addresses are taken out, and its words become 32-bit hashes. Lines that a newsletter
-prints again and again (counted over all rows) carry no story and are left out, unless little else is left. A word's
+prints again and again (counted over all rows) carry no story and are left out, unless little else is left. As the
+history holds each story once, a line stands with different stories when it is in two rows of the history; the lines of
+a story that is told again and again are not, and stay. Of a newsletter with too little history, repeated lines are all
+left out. A word's
 weight is the square of its inverse document frequency; rare words are those in few rows. Frequencies are counted over
 all rows of the history, which holds each story once: counted over the arrivals too, a story told in a third of all rows
 would turn its own names into common words.
@@ -98,7 +101,7 @@ def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys = np.where(sums == 0, np.uint64(0), mix(sums + mix(source)[row[new]] if len(new) else sums))
         lengths = np.diff(np.append(new, len(start)))
         yield pd.DataFrame({
-            "id": b["id"], "batch": b["batch"], "words": _by_row((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, n),
+            "id": b["id"], "batch": b["batch"], "src": source.view(np.int64), "words": _by_row((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, n),
             "lines": _by_row(keys.view(np.int64), row[new] if len(new) else new, n), "sizes": _by_row(lengths.astype(np.int32), row[new] if len(new) else new, n),
         })
 
@@ -110,39 +113,49 @@ def _flat(lists: pd.Series, dtype: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """History rows with each word (kind 0), rows with each line (kind 1), history rows (kind 2), summed within the task up to a bound."""
-    sums: list[dict[str, list]] = [{"h": [], "n": []}, {"h": [], "n": []}]
+    """History rows with each word (kind 0), rows with each line (kind 1), history rows (kind 2), history rows of each source (kind 3), summed within the task up to a bound. ``told``: those of them in the history."""
+    sums: dict[int, list[tuple]] = {0: [], 1: [], 3: []}
     rows = held = 0
 
     def merged() -> Iterator[pd.DataFrame]:
-        for kind, s in enumerate(sums):
-            if s["h"]:
-                h, back = np.unique(np.concatenate(s["h"]), return_inverse=True)
-                yield pd.DataFrame({"kind": kind, "h": h, "n": np.bincount(back, weights=np.concatenate(s["n"])).astype(np.int64)})
-            s["h"], s["n"] = [], []
+        for kind, parts in sums.items():
+            if parts:
+                h, n, told = (np.concatenate(x) for x in zip(*parts))
+                h, back = np.unique(h, return_inverse=True)
+                yield pd.DataFrame({"kind": kind, "h": h, "n": np.bincount(back, weights=n).astype(np.int64), "told": np.bincount(back, weights=told).astype(np.int64)})
+            parts.clear()
 
     for b in batches:
         history = b[b["history"]]
         rows += len(history)
-        for s, part, column in zip(sums, (history, b), ("words", "lines")):
-            v, row = _flat(part[column], np.int64)
-            h, n = np.unique(v[_once(v, row)], return_counts=True)
-            s["h"].append(h)
-            s["n"].append(n)
+        words_, lines = _flat(history["words"], np.int64), _flat(b["lines"], np.int64)
+        sources = history["src"].to_numpy(np.int64), np.arange(len(history))
+        for kind, (v, row), known in ((0, words_, None), (1, lines, b["history"].to_numpy(bool)), (3, sources, None)):
+            once = _once(v, row)
+            h, back = np.unique(v[once], return_inverse=True)
+            n = np.bincount(back, minlength=len(h))
+            sums[kind].append((h, n, n if known is None else np.bincount(back, weights=known[row[once]], minlength=len(h))))
             held += len(h)
         if held > 4_000_000:
             yield from merged()
             held = 0
     yield from merged()
-    yield pd.DataFrame({"kind": [2], "h": [0], "n": [rows]})
+    yield pd.DataFrame({"kind": [2], "h": [0], "n": [rows], "told": [rows]})
 
 
 class Statistics:
-    """Document frequencies above ``known_share`` and repeated lines: bounded, whatever the number of rows."""
+    """Document frequencies above ``known_share``, repeated lines and sources with a history: bounded, whatever the number of rows.
 
-    def __init__(self, rows: int, words_: np.ndarray, counts: np.ndarray, lines: np.ndarray, p: Forest) -> None:
+    ``lines``: house lines; ``doubtful``: repeated lines that stand with at most one story of the history.
+    """
+
+    def __init__(self, rows: int, words_: np.ndarray, counts: np.ndarray, lines: np.ndarray, doubtful: np.ndarray, sources: np.ndarray, p: Forest) -> None:
         order = np.argsort(words_)
-        self.rows, self.words, self.counts, self.lines, self.p = rows, words_[order], counts[order].astype(np.float64), np.sort(lines), p
+        self.rows, self.words, self.counts, self.p = rows, words_[order], counts[order].astype(np.float64), p
+        self.lines, self.doubtful, self.sources = np.sort(lines), np.sort(doubtful), np.sort(sources)
+
+    def house(self, line: np.ndarray, source: np.ndarray) -> np.ndarray:
+        return np.isin(line, self.lines) | np.isin(line, self.doubtful) & ~np.isin(source, self.sources)
 
     def frequency(self, w: np.ndarray) -> np.ndarray:
         floor = max(1.0, self.rows * self.p.known_share)
@@ -157,12 +170,13 @@ class Statistics:
 
 def statistics(tokens: DataFrame, p: Forest) -> Statistics:
     first = tokens.agg(F.min("batch")).first()[0]
-    counted = materialize(tokens.select("words", "lines", (F.col("batch") == first).alias("history") if first is not None else F.lit(True).alias("history")).mapInPandas(_count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "story-counts")
+    counted = materialize(tokens.select("src", "words", "lines", (F.col("batch") == first).alias("history") if first is not None else F.lit(True).alias("history")).mapInPandas(_count, "kind int, h long, n long, told long").groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("told").alias("told")), "story-counts")
     rows = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     least_word, least_line = max(2, math.ceil(rows * p.known_share)), max(p.line_rows, math.ceil(rows * p.line_share))
-    kept = counted.where(((F.col("kind") == 0) & (F.col("n") >= least_word)) | ((F.col("kind") == 1) & (F.col("n") >= least_line) & (F.col("h") != 0))).toPandas()
-    w = kept[kept["kind"] == 0]
-    return Statistics(rows, w["h"].to_numpy(), w["n"].to_numpy(), kept.loc[kept["kind"] == 1, "h"].to_numpy(), p)
+    kept = counted.where(((F.col("kind") == 0) & (F.col("n") >= least_word)) | ((F.col("kind") == 1) & (F.col("n") >= least_line) & (F.col("h") != 0)) | ((F.col("kind") == 3) & (F.col("n") >= least_line))).toPandas()
+    w, line = kept[kept["kind"] == 0], kept[kept["kind"] == 1]
+    house = line["told"] >= 2
+    return Statistics(rows, w["h"].to_numpy(), w["n"].to_numpy(), line.loc[house, "h"].to_numpy(), line.loc[~house, "h"].to_numpy(), kept.loc[kept["kind"] == 3, "h"].to_numpy(), p)
 
 
 def _sign(shared):
@@ -175,9 +189,9 @@ def _sign(shared):
         for b in batches:
             n = len(b)
             w, row = _flat(b["words"], np.int64)
-            line, _ = _flat(b["lines"], np.int64)
+            line, of = _flat(b["lines"], np.int64)
             size, _ = _flat(b["sizes"], np.int64)
-            story = ~np.repeat(np.isin(line, s.lines), size)
+            story = ~np.repeat(s.house(line, b["src"].to_numpy(np.int64)[of]), size)
             df = s.frequency(w)
             sets = _once(w, row)
             left = np.bincount(row[sets][story[sets] & (df[sets] <= s.rows * p.usual_share)], minlength=n)
@@ -332,7 +346,7 @@ def prepare(df: DataFrame, key: str, body: str, source: str, batch: str, p: Fore
     ship(spark)
     c = lambda n: F.col(f"`{n}`")
     kept = df.where(c(body).rlike(r"\w")).select(c(key).cast("long").alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).cast("string").alias("source"), c(body).alias("body"))
-    tokens = materialize(kept.mapInPandas(_tokenise, "id long, batch int, words array<int>, lines array<long>, sizes array<int>"), "story-words")
+    tokens = materialize(kept.mapInPandas(_tokenise, "id long, batch int, src long, words array<int>, lines array<long>, sizes array<int>"), "story-words")
     shared = spark.sparkContext.broadcast(statistics(tokens, p))
     # The words in order are only needed here.
     rows = materialize(tokens.mapInPandas(_sign(shared), "id long, batch int, words array<int>, total double, keys array<long>"), "story-rows")
