@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import Settings
 from weftline.operators import components, decisions, representative, segments, similarity
-from weftline.plans import digest
+from weftline.plans import catalog, digest
 from weftline.sources import mail, runlog
 
 STORY = "cluster_pos long, member_pos int, title string, body string, links array<string>, newsletter string, date string"
@@ -206,6 +206,13 @@ def test_digest_run_and_log(spark, tmp_path):
     assert digest.build(messages(spark, RAW), "Other", day, day, digest.Providers(*quiet), log)["story_count"] == 0
 
 
+def test_the_digest_query_takes_every_message(spark, tmp_path):
+    m = messages(spark, *[RAW.replace("Oslo", f"Oslo{i}") for i in range(60)]).withColumn("folder", F.when(F.col("msg_pos") % 2 == 0, "News").otherwise("Energy"))
+    m.withColumn("internal_date", F.date_add("internal_date", F.col("msg_pos").cast("int") * 20)).write.parquet(str(tmp_path / "messages.parquet"))
+    want = segments.parse(mail.parse_mime(m)).where("length(body) >= 30").count()
+    assert want >= 60 and catalog.q_digest(spark, str(tmp_path)).agg(F.sum("source_count")).first()[0] == want
+
+
 def test_settings_from_env():
     assert Settings.from_env(env={"WEFTLINE_SIMILARITY": "0.7", "WEFTLINE_FOLDER": "AI"}) == Settings(similarity=0.7, folder="AI")
 

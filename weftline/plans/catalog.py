@@ -340,10 +340,9 @@ def q_display_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_digest(spark: SparkSession, d: str) -> DataFrame:
-    """A whole run over one folder and its first 50 messages, the default of a run, with rule providers."""
+    """A whole run over all messages of all folders as one digest, with rule providers."""
     s = Settings()
-    chosen = mail.select(_q(spark, d, "messages"), "Energy", dt.date(2025, 9, 1), dt.date(2026, 6, 30), s.max_messages)
-    parsed = materialize(segments.parse(materialize(mail.parse_mime(chosen), "mime")), "stories")
+    parsed = materialize(segments.parse(materialize(mail.parse_mime(_q(spark, d, "messages")), "mime")), "stories")
     items = decisions.number(parsed, ["msg_pos", "sec_pos", "item_pos"], s.noise_batch)
     rule = decisions.RuleProvider({"is_noise": F.length("body") < 30})
     records = decisions.drop_noise(items, rule.decide(items)).withColumn("rec_pos", F.col("batch_no") * s.noise_batch + F.col("pos")).drop("batch_no", "pos")
