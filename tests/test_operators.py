@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -213,6 +214,22 @@ def test_the_digest_query_takes_every_message(spark, tmp_path):
     assert want >= 60 and catalog.q_digest(spark, str(tmp_path)).agg(F.sum("source_count")).first()[0] == want
 
 
+def test_list_queries_take_titles_with_marks(spark, tmp_path):
+    titles = ["Plain title of a story", "Notes [draft] of a story", "A [ left open", "Closed ] alone", "Stars * and ** here", "Figures (in full) here", "Half ( open", "Two\nlines of a title", "One line\n* and a bullet", "[Whole title]", None]
+    rows = [(i, x, "the letter of the long name", [f"https://e.x/{i}", f"https://e.x/{i}/b"]) for i, x in enumerate(titles)] + [(99, "No links", "n", [])]
+    spark.createDataFrame(rows, "rec_id long, title string, newsletter string, links array<string>").write.parquet(str(tmp_path / "stories.parquet"))
+    link, items, links = r"\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*)\]\((https?://[^)]+)\)", set(), set()
+    for i, x, letter, urls in rows[:-1]:
+        text = "Quick links\n" + "\n".join(f"* [{'x' if x is None else x}]({u}) by {letter}" for u in urls)
+        kept = [(re.sub(link, r"\1", s).strip(), " ".join(u for _, u in re.findall(link, s))) for s in re.split(r"(?m)^\s*[*-]\s+", text)[1:]]
+        kept = [k for k in kept if len(k[0]) >= 30]
+        if sum(bool(u) for _, u in kept) >= 2:
+            items |= {(i, n, *k) for n, k in enumerate(kept)}
+        links |= {(i, n, u, a) for n, (a, u) in enumerate(re.findall(link, text))}
+    assert {tuple(r) for r in catalog.q_list_items_all(spark, str(tmp_path)).collect()} == items and len({r[0] for r in items}) > 5
+    assert {tuple(r) for r in catalog.q_links_of_all(spark, str(tmp_path)).collect()} == links and len({r[0] for r in links}) > 5
+
+
 def test_settings_from_env():
     assert Settings.from_env(env={"WEFTLINE_SIMILARITY": "0.7", "WEFTLINE_FOLDER": "AI"}) == Settings(similarity=0.7, folder="AI")
 

@@ -152,6 +152,23 @@ def _listed(spark: SparkSession, d: str) -> DataFrame:
     return s.where("title IS NULL OR NOT title RLIKE r'[\\[\\]*()\\n]'").select("rec_id", F.concat(F.lit("Quick links\n"), F.array_join(F.transform("links", item), "\n")).alias("text"))
 
 
+def _listed_any(spark: SparkSession, d: str) -> DataFrame:
+    """As ``_listed``, with every story that has links, whatever its title holds."""
+    s = _q(spark, d, "stories").where("size(links) > 0")
+    item = lambda u: F.concat(F.lit("* ["), F.coalesce("title", F.lit("x")), F.lit("]("), u, F.lit(") by "), F.coalesce("newsletter", F.lit("")))
+    return s.select("rec_id", F.concat(F.lit("Quick links\n"), F.array_join(F.transform("links", item), "\n")).alias("text"))
+
+
+def q_list_items_all(spark: SparkSession, d: str) -> DataFrame:
+    items = _listed_any(spark, d).select("rec_id", F.posexplode(segments.list_items(F.col("text"))).alias("item_pos", "s"))
+    return items.select("rec_id", "item_pos", "s.text", F.array_join(F.transform("s.links", lambda x: x["url"]), " ").alias("links"))
+
+
+def q_links_of_all(spark: SparkSession, d: str) -> DataFrame:
+    found = _listed_any(spark, d).select("rec_id", F.posexplode(segments.links_of(F.col("text"))).alias("pos", "l"))
+    return found.select("rec_id", "pos", "l.url", "l.anchor_text")
+
+
 def q_list_items(spark: SparkSession, d: str) -> DataFrame:
     items = _listed(spark, d).select("rec_id", F.posexplode(segments.list_items(F.col("text"))).alias("item_pos", "s"))
     return items.select("rec_id", "item_pos", "s.text", F.array_join(F.transform("s.links", lambda x: x["url"]), " ").alias("links"))
