@@ -385,6 +385,12 @@ def test_variants_of_a_story_told_again_and_again(spark, first):
     assert got == {61 + i: 60 for i in range(0, 120, 3)}
 
 
+def test_stories_without_ascii_letters_are_told_again(spark):
+    story_ = "Новий порт відкрили вчора після довгого ремонту причалів і складів поблизу старої гавані міста"
+    df = spark.createDataFrame([(1, 0, "n", story_), (2, 1, "n", story_), (3, 1, "n", "。。。")], "rec_id long, batch_no int, newsletter string, body string")
+    assert [tuple(r) for r in story_index.repeats(df).collect()] == [(1, 2)]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 

@@ -345,7 +345,7 @@ def prepare(df: DataFrame, key: str, body: str, source: str, batch: str, p: Fore
     spark = df.sparkSession
     ship(spark)
     c = lambda n: F.col(f"`{n}`")
-    kept = df.where(c(body).rlike(r"\w")).select(c(key).cast("long").alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).cast("string").alias("source"), c(body).alias("body"))
+    kept = df.where(c(body).rlike(r"(?U)\w")).select(c(key).cast("long").alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).cast("string").alias("source"), c(body).alias("body"))
     tokens = materialize(kept.mapInPandas(_tokenise, "id long, batch int, src long, words array<int>, lines array<long>, sizes array<int>"), "story-words")
     shared = spark.sparkContext.broadcast(statistics(tokens, p))
     # The words in order are only needed here.
