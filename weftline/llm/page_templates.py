@@ -9,7 +9,7 @@ with a third of all pages is pre-aggregated in every task and no vector is ever
 2. A class is valid when one of its tokens is too frequent for prose on its host and, unless very frequent, missing
    from most comparable hosts (same language): prose frames and section heads are spread evenly over all hosts, while
    page furniture is one host's choice.
-3. Valid classes nest: a line's opening belongs to the template of the line when their vectors are equal, and an
+3. Nesting is kept to single lines, positions and order of classes are not compared: a line's opening belongs to the template of the line when their vectors are equal, and an
    opening that is valid on its own leaves the rest of the line as a slot (a teaser's title, a breadcrumb's last step).
 4. Lines with a token of a valid class, or naming their own site, are furniture. A line whose ending (last two words)
    nearly always stands right before furniture or the page's end is a closing note (about the author and the like) and
