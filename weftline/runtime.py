@@ -8,17 +8,25 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local[") or master == "local"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``. Where that is unset a local folder serves a local master; a cluster has none that all executors see, so it is an error there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not _local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="weftline-")
@@ -30,12 +38,40 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/weftline/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: lineage ends there and survives lost executors."""
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The write counts its rows, so :func:`rows_of` needs no job of its own.
+    """
     spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = path or scratch(spark, tag)
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path, counted.get["n"]
+    return out
+
+
+def rows_of(df: DataFrame) -> int | None:
+    """Number of rows of a materialized table, None for any other DataFrame."""
+    return getattr(df, "_written", (None, None))[1]
+
+
+class Scratch:
+    """Materialized tables of one operator call, deleted together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        self.paths.append(out._written[0])
+        return out
+
+    def drop(self) -> None:
+        for p in self.paths:
+            drop_path(self.spark, p)
+        self.paths.clear()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -48,7 +84,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a real cluster once per application, so Python workers can import it."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if _local(spark) or sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     fd, name = tempfile.mkstemp(prefix="weftline-", suffix=".zip")
@@ -67,6 +103,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only after counting: ``df`` (already materialized, narrow rows) must have at most ``max_rows`` rows; a larger one keeps its shuffle join."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows = rows_of(df)
+    if rows is None:
+        rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
