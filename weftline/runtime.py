@@ -44,9 +44,9 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     The write counts its rows, so :func:`rows_of` needs no job of its own.
     """
     spark = df.sparkSession
-    path = path or scratch(spark, tag)
+    mode, path = ("overwrite", path) if path else ("errorifexists", scratch(spark, tag))
     counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path, counted.get["n"]
     return out
@@ -74,11 +74,31 @@ class Scratch:
         self.paths.clear()
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file under a name that appears only when it is whole."""
+    part, fs = _file_system(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(part, _file_system(spark, path)[0])
+
+
+def last_text(spark: SparkSession, folder: str) -> str:
+    """The text of the last whole file of a folder by name."""
+    p, fs = _file_system(spark, folder)
+    names = sorted(x.getPath().toString() for x in fs.listStatus(p) if not x.getPath().getName().startswith(".") and not x.getPath().getName().endswith(".part"))
+    return "\n".join(r.value for r in spark.read.text(names[-1], wholetext=True).collect())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
