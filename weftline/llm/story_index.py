@@ -1,50 +1,59 @@
 """Problem 1: each new batch checked against everything accepted before, with a persisted prefix-tree hash forest.
 
-Words: a body is folded, markup and addresses are taken out, and its words become 32-bit hashes. Lines that a newsletter
-prints again and again (counted over all rows) carry no story and are left out, unless little else is left. As the
-history holds each story once, a line stands with different stories when it is in two rows of the history; the lines of
-a story that is told again and again are not, and stay. Of a newsletter with too little history, repeated lines are all
-left out. A word's
-weight is the square of its inverse document frequency; rare words are those in few rows. Frequencies are counted over
-all rows of the history, which holds each story once: counted over the arrivals too, a story told in a third of all rows
-would turn its own names into common words.
+An index is a folder: ``StoryIndex.create`` makes it from a first batch, ``StoryIndex.open`` takes it up in any later
+session, ``check`` takes one new batch. A check reads, tokenises and signs the batch only; of the history it reads word
+sets of candidates, line counts and the key ranges that hold a prefix of the batch, never a text. A manifest, written
+last, names the files that count, so a check that breaks off leaves the index as it was.
+
+Words: a body is folded, markup and addresses are taken out, and its words become 32-bit hashes. Lines in at least
+``line_rows`` rows seen so far carry no story when they stand with two accepted stories, and are left out unless little
+else is left; lines of a story that is told again and again stand with one, and stay. Of a newsletter with too few
+accepted rows repeated lines are all left out. A word's weight is the square of its inverse document frequency; rare
+words are those in few rows. Document frequencies are those of the first batch: counted over the arrivals too, a story
+told in a third of all rows would turn its own names into common words, and keys of old and new rows would not agree.
 
 Forest: the features of a story are its pairs of neighbouring rare words. ``trees`` independent permutations each give a
 key of three MinHash values (32, 16 and 16 bits), so equal leading bits mean equal leading values and each tree is a
-sorted column of keys. History is kept as sorted runs of (tree, key, rec_id); a batch is located by the range of keys
-that share its prefix, first the whole key, then shorter prefixes until the expected recall at the least similarity
-reaches the target. Candidates are verified exactly: the weight of the shared words over that of the lighter side.
-
-A row that repeats an accepted story is written with its first row and never enters the index, so a story told in a
-third of all rows has one entry a tree. Rows of one batch that repeat each other are found in the same trees: every row
-of a node is compared with the node's first row, then what is left of the node among itself while it is small, or at a
-longer prefix. The batch's new stories become a new run; runs are merged when they are many.
-
-Defined results: null and empty bodies, and bodies without words, repeat nothing; equal ids are not expected; ties go to
-the smallest rec_id; batches are taken in ascending order, null batch numbers first; an empty table gives an empty result.
+sorted column of keys. Entries are kept as runs, partitioned by range (tree and leading bits of the key) and sorted. A
+batch's entries are located by range: only the ranges that hold one of their prefixes are read, each once, against at
+most ``block_entries`` entries at a time, and no entry of the history is shuffled while the batch is small enough to be
+sent. The whole key is looked up first, then shorter prefixes until the expected recall at the least similarity reaches
+the target; a row found at a long prefix is only compared with candidates of smaller first rows at a shorter one.
+Candidates are verified exactly: the weight of the shared words over that of the lighter side.
+
+Hot groups: rows with equal word sets are one entry. In a node of the batch every row is compared with the node's first
+row, what is found leaves, and the rest is compared with all rows of the node in salted blocks of ``block_rows`` by
+``block_rows``. A repeat with other words than its first row is entered only where that row's story has no entry with its
+prefix yet, so a story told in a third of all rows takes one entry a node. Runs are merged when they are many.
+
+Defined results: null and empty bodies, and bodies without words, repeat nothing; equal ids are not expected; a row's
+first row is the smallest one that it or a row it repeats leads to, earlier batches before its own; batches are taken in
+ascending order, null batch numbers first; an empty table gives an empty result. The first batch is checked against itself.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.llm.folding import fold
 from weftline.llm.hashing import mix, words
-from weftline.runtime import bounded_broadcast, drop_path, materialize, scratch, ship
+from weftline.runtime import Scratch, bounded_broadcast, drop_path, last_text, materialize, put_text, rows_of, scratch, ship
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Production parameters. The two ``share`` bounds keep the broadcast statistics below words-per-row / share entries."""
+    """Production parameters. ``known_share`` keeps the broadcast statistics below words-per-row / share entries."""
 
     trees: int = 12
     least_jaccard: float = 0.35  # of the feature pairs, for which the recall target holds
@@ -54,9 +63,10 @@ class Forest:
     known_share: float = 0.0001  # rows with a word, below which all words weigh the same
     usual_share: float = 0.05  # rows with a word, above which it is left out of the comparison
     line_rows: int = 8
-    line_share: float = 0.00001
     least_words: int = 8
-    node_rows: int = 32
+    range_entries: int = 4_000_000  # entries of the first batch in one key range
+    block_entries: int = 1_000_000  # entries of a batch looked up at a time
+    block_rows: int = 64
     max_runs: int = 6
 
     def depths(self) -> list[int]:
@@ -68,6 +78,9 @@ class Forest:
 _MARKUP = re.compile(r"<[^<>\n]*>?|https?://\S+|\\[a-z]+\{?|\{\{[a-z]+\||&#?\w+;|\{\|[^\n]*")
 _SHIFT = {3: 0, 2: 16, 1: 32}
 _ROW = np.uint64(0xD6E8FEB86659FD93)
+#: Stands for the source itself among its lines.
+_SOURCE = np.uint64(0x5851F42D4C957F2D)
+_RANGE_BITS = 16
 
 
 def _plain(body: str) -> str:
@@ -77,85 +90,83 @@ def _plain(body: str) -> str:
     return t.lower()
 
 
-def _by_row(values: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
-    return np.split(values, np.searchsorted(row, np.arange(1, n)))
+def _lists(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False), np.repeat(np.arange(len(column)), sizes)
+
+
+def _as_lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """A list column of ``n`` rows from values in row order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values))
+
+
+def _in_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(values.astype(np.uint64) + row.astype(np.uint64) * _ROW)
 
 
 def _once(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Indices of the first of equal values in a row."""
-    with np.errstate(over="ignore"):
-        return np.sort(np.unique(mix(values.astype(np.uint64) + row.astype(np.uint64) * _ROW), return_index=True)[1])
+    return np.sort(np.unique(_in_row(values, row), return_index=True)[1])
 
 
-def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = len(b)
-        h, row, first, start = words(data := [_plain(x).encode("utf-8", "surrogatepass") for x in b["body"]])
+        n = b.num_rows
+        h, row, first, start = words(data := [_plain(x).encode("utf-8", "surrogatepass") for x in b.column("body").to_pylist()])
         joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
         line = np.cumsum(joined == 10)[start] if len(start) else start
         new = np.flatnonzero(np.diff(line, prepend=-1)) if len(start) else np.zeros(0, np.int64)
         letters = (first < 48) | (first > 57)
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(np.where(letters, mix(h), np.uint64(0)), new) if len(new) else np.zeros(0, np.uint64)
-            source = pd.util.hash_array(b["source"].fillna("").to_numpy(object)).astype(np.uint64)
+            source = pd.util.hash_array(np.array([x or "" for x in b.column("source").to_pylist()], object)).astype(np.uint64)
             keys = np.where(sums == 0, np.uint64(0), mix(sums + mix(source)[row[new]] if len(new) else sums))
-        lengths = np.diff(np.append(new, len(start)))
-        yield pd.DataFrame({
-            "id": b["id"], "batch": b["batch"], "src": source.view(np.int64), "words": _by_row((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, n),
-            "lines": _by_row(keys.view(np.int64), row[new] if len(new) else new, n), "sizes": _by_row(lengths.astype(np.int32), row[new] if len(new) else new, n),
-        })
+        lengths = np.diff(np.append(new, len(start))).astype(np.int32)
+        of = row[new] if len(new) else new
+        yield pa.RecordBatch.from_arrays([
+            b.column("id"), pa.array(mix(source ^ _SOURCE).view(np.int64)), _as_lists((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, n), _as_lists(keys.view(np.int64), of, n), _as_lists(lengths, of, n),
+        ], ["id", "src", "words", "lines", "sizes"])
 
 
-def _flat(lists: pd.Series, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    values = np.concatenate(lists.to_list()).astype(dtype) if sizes.sum() else np.zeros(0, dtype)
-    return values, np.repeat(np.arange(len(lists)), sizes)
+_TOKENS = "id long, src long, words array<int>, lines array<long>, sizes array<int>"
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """History rows with each word (kind 0), rows with each line (kind 1), history rows (kind 2), history rows of each source (kind 3), summed within the task up to a bound. ``told``: those of them in the history."""
-    sums: dict[int, list[tuple]] = {0: [], 1: [], 3: []}
-    rows = held = 0
+def _sums(values: np.ndarray, told: np.ndarray) -> pa.RecordBatch:
+    h, back = np.unique(values, return_inverse=True)
+    n = [np.bincount(back, weights=w, minlength=len(h)).astype(np.int64) for w in (None, told)]
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n[0]), pa.array(n[1])], ["h", "n", "told"])
 
-    def merged() -> Iterator[pd.DataFrame]:
-        for kind, parts in sums.items():
-            if parts:
-                h, n, told = (np.concatenate(x) for x in zip(*parts))
-                h, back = np.unique(h, return_inverse=True)
-                yield pd.DataFrame({"kind": kind, "h": h, "n": np.bincount(back, weights=n).astype(np.int64), "told": np.bincount(back, weights=told).astype(np.int64)})
-            parts.clear()
 
-    for b in batches:
-        history = b[b["history"]]
-        rows += len(history)
-        words_, lines = _flat(history["words"], np.int64), _flat(b["lines"], np.int64)
-        sources = history["src"].to_numpy(np.int64), np.arange(len(history))
-        for kind, (v, row), known in ((0, words_, None), (1, lines, b["history"].to_numpy(bool)), (3, sources, None)):
+def _count(column: str):
+    """(h, n, told): rows with each word, or with each line and of each source, summed within the task; ``told`` counts rows that are ``new``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            v, row = _lists(b.column(column), np.int64)
+            told = b.column("new").to_numpy(zero_copy_only=False).astype(np.float64)
             once = _once(v, row)
-            h, back = np.unique(v[once], return_inverse=True)
-            n = np.bincount(back, minlength=len(h))
-            sums[kind].append((h, n, n if known is None else np.bincount(back, weights=known[row[once]], minlength=len(h))))
-            held += len(h)
-        if held > 4_000_000:
-            yield from merged()
-            held = 0
-    yield from merged()
-    yield pd.DataFrame({"kind": [2], "h": [0], "n": [rows], "told": [rows]})
+            once = once[v[once] != 0] if column == "lines" else once
+            held.append((v[once], told[row[once]]))
+            if column == "lines":
+                held.append((b.column("src").to_numpy(), told))
+            if sum(len(x) for x, _ in held) > 2_000_000:
+                yield _sums(*(np.concatenate(x) for x in zip(*held)))
+                held.clear()
+        if held:
+            yield _sums(*(np.concatenate(x) for x in zip(*held)))
 
+    return run
 
-class Statistics:
-    """Document frequencies above ``known_share``, repeated lines and sources with a history: bounded, whatever the number of rows.
 
-    ``lines``: house lines; ``doubtful``: repeated lines that stand with at most one story of the history.
-    """
+class Statistics:
+    """Document frequencies above ``known_share``: bounded, whatever the number of rows."""
 
-    def __init__(self, rows: int, words_: np.ndarray, counts: np.ndarray, lines: np.ndarray, doubtful: np.ndarray, sources: np.ndarray, p: Forest) -> None:
+    def __init__(self, rows: int, words_: np.ndarray, counts: np.ndarray, p: Forest) -> None:
         order = np.argsort(words_)
-        self.rows, self.words, self.counts, self.p = rows, words_[order], counts[order].astype(np.float64), p
-        self.lines, self.doubtful, self.sources = np.sort(lines), np.sort(doubtful), np.sort(sources)
-
-    def house(self, line: np.ndarray, source: np.ndarray) -> np.ndarray:
-        return np.isin(line, self.lines) | np.isin(line, self.doubtful) & ~np.isin(source, self.sources)
+        self.rows, self.words, self.counts, self.p = max(rows, 1), words_[order], counts[order].astype(np.float64), p
 
     def frequency(self, w: np.ndarray) -> np.ndarray:
         floor = max(1.0, self.rows * self.p.known_share)
@@ -168,30 +179,20 @@ class Statistics:
         return np.log((self.rows + 1) / self.frequency(w)) ** 2
 
 
-def statistics(tokens: DataFrame, p: Forest) -> Statistics:
-    first = tokens.agg(F.min("batch")).first()[0]
-    counted = materialize(tokens.select("src", "words", "lines", (F.col("batch") == first).alias("history") if first is not None else F.lit(True).alias("history")).mapInPandas(_count, "kind int, h long, n long, told long").groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("told").alias("told")), "story-counts")
-    rows = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    least_word, least_line = max(2, math.ceil(rows * p.known_share)), max(p.line_rows, math.ceil(rows * p.line_share))
-    kept = counted.where(((F.col("kind") == 0) & (F.col("n") >= least_word)) | ((F.col("kind") == 1) & (F.col("n") >= least_line) & (F.col("h") != 0)) | ((F.col("kind") == 3) & (F.col("n") >= least_line))).toPandas()
-    w, line = kept[kept["kind"] == 0], kept[kept["kind"] == 1]
-    house = line["told"] >= 2
-    return Statistics(rows, w["h"].to_numpy(), w["n"].to_numpy(), line.loc[house, "h"].to_numpy(), line.loc[~house, "h"].to_numpy(), kept.loc[kept["kind"] == 3, "h"].to_numpy(), p)
-
-
 def _sign(shared):
-    """Word sets and forest keys of every row."""
+    """Word sets and forest keys of every row. ``house``: the row's lines that carry no story."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Statistics = shared.value
         p = s.p
         seeds = np.random.default_rng(7).integers(1, 1 << 62, (p.trees, 3), dtype=np.uint64)
         for b in batches:
-            n = len(b)
-            w, row = _flat(b["words"], np.int64)
-            line, of = _flat(b["lines"], np.int64)
-            size, _ = _flat(b["sizes"], np.int64)
-            story = ~np.repeat(s.house(line, b["src"].to_numpy(np.int64)[of]), size)
+            n = b.num_rows
+            w, row = _lists(b.column("words"), np.int64)
+            line, of = _lists(b.column("lines"), np.int64)
+            size, _ = _lists(b.column("sizes"), np.int64)
+            gone, gone_of = _lists(b.column("house"), np.int64)
+            story = np.repeat(~np.isin(_in_row(line, of), _in_row(gone, gone_of)), size)
             df = s.frequency(w)
             sets = _once(w, row)
             left = np.bincount(row[sets][story[sets] & (df[sets] <= s.rows * p.usual_share)], minlength=n)
@@ -216,30 +217,38 @@ def _sign(shared):
                     feature, fr = np.concatenate([feature, mix(w[extra].astype(np.uint64))]), np.concatenate([fr, row[extra]])
                     by = np.argsort(fr, kind="stable")
                     feature, fr = feature[by], fr[by]
-                keys = np.zeros((n, p.trees), np.int64)
-                if len(fr):
-                    starts = np.flatnonzero(np.diff(fr, prepend=-1))
-                    for t in range(p.trees):
-                        v = [np.minimum.reduceat(mix(feature ^ seeds[t, k]), starts) for k in range(3)]
-                        v = [mix(x) for x in v]
-                        keys[fr[starts], t] = ((v[0] & np.uint64(0xFFFFFFFF00000000)) | ((v[1] >> np.uint64(48)) << np.uint64(16)) | (v[2] >> np.uint64(48))).view(np.int64)
-            full = np.bincount(fr, minlength=n) > 0
-            yield pd.DataFrame({"id": b["id"], "batch": b["batch"], "words": _by_row(w[order].astype(np.int32), row[order], n), "total": total, "keys": [k if f else k[:0] for k, f in zip(keys, full)]})
+                starts = np.flatnonzero(np.diff(fr, prepend=-1)) if len(fr) else np.zeros(0, np.int64)
+                keys = np.zeros((len(starts), p.trees), np.int64)
+                for t in range(p.trees if len(starts) else 0):
+                    v = [mix(np.minimum.reduceat(mix(feature ^ seeds[t, k]), starts)) for k in range(3)]
+                    keys[:, t] = ((v[0] & np.uint64(0xFFFFFFFF00000000)) | ((v[1] >> np.uint64(48)) << np.uint64(16)) | (v[2] >> np.uint64(48))).view(np.int64)
+                digest = np.zeros(n, np.uint64)
+                np.add.at(digest, row[order], mix(w[order].astype(np.uint64) ^ _SOURCE))
+            yield pa.RecordBatch.from_arrays([
+                b.column("id"), pa.array(digest.view(np.int64)), _as_lists(w[order].astype(np.int32), row[order], n), pa.array(total), _as_lists(keys.ravel(), np.repeat(fr[starts], p.trees), n),
+            ], ["id", "digest", "words", "total", "keys"])
 
     return run
 
 
-def _similarity(shared):
-    @F.pandas_udf(T.DoubleType())
-    def similar(a: pd.Series, at: pd.Series, b: pd.Series, bt: pd.Series) -> pd.Series:
+_ROWS = "id long, digest long, words array<int>, total double, keys array<long>"
+
+
+def _alike(shared):
+    """Of pairs with both word sets those whose rows tell the same story."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Statistics = shared.value
-        both = [np.intersect1d(x, y, assume_unique=True) for x, y in zip(a, b)]
-        sizes = np.fromiter(map(len, both), np.int64, len(both))
-        w = s.weight(np.concatenate(both).astype(np.int64)) if sizes.sum() else np.zeros(0)
-        sums = np.bincount(np.repeat(np.arange(len(both)), sizes), weights=w, minlength=len(both))
-        return pd.Series(sums / np.maximum(np.minimum(at.to_numpy(), bt.to_numpy()), 1e-9))
+        for b in batches:
+            (x, xr), (y, yr) = (_lists(b.column(c), np.uint32) for c in ("a", "b"))
+            both = np.intersect1d(xr.astype(np.uint64) << np.uint64(32) | x, yr.astype(np.uint64) << np.uint64(32) | y, assume_unique=True)
+            shared_words = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).astype(np.int64)
+            weight = np.bincount((both >> np.uint64(32)).astype(np.int64), weights=s.weight(shared_words), minlength=b.num_rows)
+            least = np.minimum(b.column("at").to_numpy(), b.column("bt").to_numpy())
+            keep = pa.array(weight >= s.p.similarity * np.maximum(least, 1e-9))
+            yield b.select(["id", "first"]).filter(keep)
 
-    return similar
+    return run
 
 
 def _node(depth: int) -> Column:
@@ -247,132 +256,274 @@ def _node(depth: int) -> Column:
     return F.shiftleft(F.col("tree").cast("long"), 32) + F.shiftrightunsigned("key", 32) if depth == 1 else F.xxhash64("tree", F.shiftright("key", _SHIFT[depth]))
 
 
-class StoryIndex:
-    """The persisted forest: rows of accepted stories and sorted runs of their keys."""
+@dataclass
+class _Manifest:
+    """What an index consists of: its parameters, counts of the first batch, bits of a key that name its range, and the files of each kind."""
 
-    def __init__(self, rows: DataFrame, shared, p: Forest) -> None:
-        self.spark, self.rows, self.p = rows.sparkSession, rows, p
-        self.similar, self.runs = _similarity(shared), []
+    params: dict
+    rows: int = 0
+    bits: int = 0
+    batches: int = 0
+    forest: list[str] = field(default_factory=list)
+    stories: list[str] = field(default_factory=list)
+    lines: list[str] = field(default_factory=list)
 
-    def _entries(self, rows: DataFrame) -> DataFrame:
-        return rows.select("id", F.posexplode("keys").alias("tree", "key"))
 
-    def accept(self, rows: DataFrame) -> None:
-        """Add the rows' keys as runs, one sorted file a task, without a shuffle; merge the later runs when there are many.
+class StoryIndex:
+    """The persisted forest: word sets of accepted stories, sorted runs of their keys, and line counts, below ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, manifest: _Manifest) -> None:
+        self.spark, self.path, self.m, self.p = spark, path, manifest, Forest(**manifest.params)
+        ship(spark)
+        w = spark.read.schema("h long, n long").parquet(f"{path}/words").toPandas() if manifest.batches else pd.DataFrame({"h": [], "n": []})
+        self.shared = spark.sparkContext.broadcast(Statistics(manifest.rows, w["h"].to_numpy(np.int64), w["n"].to_numpy(np.int64), self.p))
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, first: DataFrame, p: Forest | None = None) -> tuple[StoryIndex, DataFrame]:
+        """A new index below ``path`` (which must not exist) from the rows (id, source, body) of a first batch, and that batch's own repeats."""
+        p = p or Forest()
+        ship(spark)
+        tmp = Scratch(spark)
+        tokens = cls._tokens(first, tmp)
+        rows = rows_of(tokens)
+        least = max(2, math.ceil(rows * p.known_share))
+        counted = tokens.select("words", F.lit(True).alias("new")).mapInArrow(_count("words"), "h long, n long, told long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        counted.write.parquet(f"{path}/words")
+        bits = min(_RANGE_BITS, max(0, math.ceil(math.log2(max(1, rows) / p.range_entries))))
+        index = cls(spark, path, _Manifest(asdict(p), rows, bits, 1))
+        found = index._take(tokens, tmp)
+        tmp.drop()
+        return index, found
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> StoryIndex:
+        """The index below ``path`` as its last complete check left it."""
+        return cls(spark, path, _Manifest(**json.loads(last_text(spark, f"{path}/manifest"))))
 
-        The first run, the history, is never rewritten.
-        """
-        entries = self._entries(rows).select("tree", "key", "id")
-        if len(self.runs) >= self.p.max_runs:
-            entries = self.spark.read.parquet(*self.runs[1:]).unionByName(entries).repartitionByRange("tree", "key")
-            self.runs = self.runs[:1]
-        path = scratch(self.spark, "forest-run")
-        entries.sortWithinPartitions("tree", "key").write.parquet(path)
-        self.runs.append(path)
-
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """(id, first): pairs whose rows tell the same story. Rows are cut to those of the pairs before they are shuffled."""
-        pairs = bounded_broadcast(materialize(pairs.distinct(), "story-pairs"))
-        side = self.rows.select("id", "words", "total")
-        left = side.join(pairs, "id").select("id", "first", F.col("words").alias("a"), F.col("total").alias("at"))
-        wanted = pairs.select(F.col("first").alias("id")).distinct()
-        right = side.join(wanted, "id", "left_semi").select(F.col("id").alias("first"), F.col("words").alias("b"), F.col("total").alias("bt"))
-        return left.join(right, "first").where(self.similar("a", "at", "b", "bt") >= self.p.similarity).select("id", "first")
-
-    def _history(self, batch: DataFrame) -> list[DataFrame]:
-        """(id, first) hits by prefix length, longest first; rows found at one length aren't looked up at the next."""
-        found: list[DataFrame] = []
-        for depth in self.p.depths() if self.runs else []:
-            forest = self.spark.read.parquet(*self.runs).select(F.col("id").alias("first"), _node(depth).alias("node"))
-            near = forest.join(self._entries(_without(batch, found)).select("id", _node(depth).alias("node")), "node")
-            found.append(materialize(self._verified(near.select("id", "first")).groupBy("id").agg(F.min("first").alias("first")), "story-hits"))
+    def check(self, batch: DataFrame) -> DataFrame:
+        """(id, first) of the rows of ``batch`` (id, source, body) that repeat an accepted row or each other; the rest is accepted."""
+        tmp = Scratch(self.spark)
+        found = self._take(self._tokens(batch, tmp), tmp)
+        tmp.drop()
         return found
 
-    def _within(self, batch: DataFrame) -> list[DataFrame]:
-        """(id, first) links among the rows of one batch: nodes are stars first, then pairs while small, then longer prefixes."""
-        links, depth, entries = [], self.p.depths()[-1], self._entries(batch)
-        while True:
-            keyed = entries.select("id", "tree", "key", _node(depth).alias("node"))
-            nodes = keyed.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("node", "first")
-            star = materialize(keyed.join(bounded_broadcast(materialize(nodes, "story-nodes")), "node"), "story-star")
-            if star.isEmpty():
-                return links
-            hit = materialize(self._verified(star.where("id <> first").select("id", "first")), "story-links")
-            links.append(hit)
-            rest = star.where("id <> first").join(hit.select("id").distinct(), "id", "left_anti").select("id", "tree", "key", "node")
-            sizes = rest.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-            rest = materialize(rest.join(sizes, "node"), "story-rest")
-            small = rest.where(F.col("m") <= self.p.node_rows)
-            pairs = small.alias("x").join(small.alias("y"), "node").where("x.id > y.id").select(F.col("x.id").alias("id"), F.col("y.id").alias("first"))
-            links.append(materialize(self._verified(pairs), "story-links"))
-            entries = rest.where(F.col("m") > self.p.node_rows).select("id", "tree", "key")
-            depth = min(3, depth + 1)
+    @staticmethod
+    def _tokens(batch: DataFrame, tmp: Scratch) -> DataFrame:
+        kept = batch.where(F.col("body").rlike(r"(?U)\w")).select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.col("body").cast("string").alias("body"))
+        return tmp(kept.mapInArrow(_tokenise, _TOKENS), "story-tokens")
+
+    def _named(self, kind: str) -> str:
+        return f"{self.path}/{kind}/batch={self.m.batches}"
+
+    def _runs(self, names: list[str], schema: str) -> DataFrame:
+        base = f"{self.path}/{names[0].split('/')[0]}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{self.path}/{n}" for n in names)).drop("batch")
+
+    def _take(self, tokens: DataFrame, tmp: Scratch) -> DataFrame:
+        rows = tmp(self._signed(tokens, tmp), "story-rows")
+        rows = rows.where(F.size("keys") > 0)
+        # Equal word sets are one row; the copies follow their first one.
+        sets = rows.groupBy("digest", "total").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        copies = bounded_broadcast(tmp(rows.select("id", "digest", "total").join(sets, ["digest", "total"]).where("id <> first").select("id", "first"), "story-copies"))
+        batch = rows.join(copies.select("id"), "id", "left_anti").select("id", "words", "total", "keys")
+        place = F.shiftleft(F.col("tree"), self.m.bits) + F.shiftrightunsigned("key", 64 - self.m.bits).cast("int") if self.m.bits else F.col("tree")
+        entries = tmp(batch.select("id", F.posexplode("keys").alias("tree", "key")).withColumn("part", place), "story-entries")
+        batch = batch.drop("keys")
+        hits, leads = self._history(batch, entries, tmp)
+        links = self._within(batch, entries, hits, tmp)
+        own = _roots(links, hits, tmp)
+        firsts = own if hits is None else own.unionByName(hits)
+        told = copies.withColumnRenamed("first", "up").join(firsts.withColumnsRenamed({"id": "up"}), "up", "left").select("id", F.coalesce("first", "up").alias("first"))
+        found = materialize(firsts.unionByName(told), "found", self._named("found"))
+        self._accept(tokens, batch, entries, firsts, found, leads, tmp)
+        return found
 
-    def check(self, batch: DataFrame) -> DataFrame:
-        """(id, first) of the rows of ``batch`` that repeat an accepted story or each other; the rest is accepted."""
-        found = self._history(batch)
-        links = self._within(_without(batch, found))
-        if links:
-            found.append(_roots(links))
-        self.accept(_without(batch, found))
-        result = found[0] if found else self.spark.createDataFrame([], "id long, first long")
-        for f in found[1:]:
-            result = result.unionByName(f)
-        return result
-
-
-def _without(batch: DataFrame, found: list[DataFrame]) -> DataFrame:
-    for f in found:
-        batch = batch.join(f.select("id"), "id", "left_anti")
-    return batch
-
-
-def _roots(links: list[DataFrame]) -> DataFrame:
-    """Every linked row with the first row its links lead to."""
+    def _signed(self, tokens: DataFrame, tmp: Scratch) -> DataFrame:
+        """The batch's rows without the lines that carry no story."""
+        here = tmp(self._counted(tokens.select("src", "lines", F.lit(False).alias("new"))), "story-lines")
+        if self.m.lines:
+            before = self._runs(self.m.lines, "h long, n long, told long").join(bounded_broadcast(here).select("h"), "h", "left_semi")
+            here = here.unionByName(before).groupBy("h").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
+        judged = here.where(F.col("n") >= self.p.line_rows).select("h", "told")
+        each = tokens.select("id", F.explode(F.concat(F.array(F.struct(F.col("src").alias("h"), F.lit(True).alias("own"))), F.transform("lines", lambda x: F.struct(x.alias("h"), F.lit(False).alias("own"))))).alias("x")).select("id", "x.h", "x.own")
+        lines = F.collect_set(F.when(~F.col("own"), F.struct("h", (F.col("told") >= 2).alias("sure"))))
+        by_row = each.join(judged, "h").groupBy("id").agg(F.max(F.col("own") & (F.col("told") >= self.p.line_rows)).alias("known"), lines.alias("lines"))
+        house = by_row.select("id", F.transform(F.filter("lines", lambda x: x["sure"] | ~F.col("known")), lambda x: x["h"]).alias("house")).where(F.size("house") > 0)
+        return tokens.join(house, "id", "left").select("id", "words", "lines", "sizes", "house").mapInArrow(_sign(self.shared), _ROWS)
+
+    @staticmethod
+    def _counted(lines: DataFrame) -> DataFrame:
+        return lines.mapInArrow(_count("lines"), "h long, n long, told long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
+
+    def _blocks(self, entries: DataFrame) -> Iterator[tuple[list[int], DataFrame]]:
+        """Key ranges with the entries that fall into them, at most ``block_entries`` at a time.
+
+        One row a range reaches the driver. A range with more entries is taken in several blocks by a hash of the row.
+        """
+        sizes = sorted((r["part"], r["count"]) for r in entries.groupBy("part").count().collect())
+        taken, held = [], 0
+        for part, n in sizes:
+            slices = math.ceil(n / self.p.block_entries)
+            if slices > 1:
+                for i in range(slices):
+                    yield [part], entries.where((F.col("part") == part) & (F.pmod(F.xxhash64("id"), F.lit(slices)) == i))
+                continue
+            if held + n > self.p.block_entries and taken:
+                yield taken, entries.where(F.col("part").isin(taken))
+                taken, held = [], 0
+            taken.append(part)
+            held += n
+        if taken:
+            yield taken, entries if len(taken) == len(sizes) else entries.where(F.col("part").isin(taken))
+
+    def _verified(self, pairs: DataFrame, batch: DataFrame, others: DataFrame, few: bool = False) -> DataFrame:
+        """(id, other): pairs that tell the same story. Word sets are cut to those of the pairs before they are shuffled."""
+        pairs = pairs.distinct()
+        wanted = pairs.select(F.col("other").alias("id")).distinct()
+        if few:
+            # Few candidates: their ids prune the files, which are sorted by id.
+            others = others.where(F.col("id").isin([r.id for r in wanted.collect()]))
+        left = batch.join(pairs, "id").select("id", "other", F.col("words").alias("a"), F.col("total").alias("at"))
+        right = others.join(wanted, "id", "left_semi").select(F.col("id").alias("other"), F.col("words").alias("b"), F.col("total").alias("bt"))
+        both = left.join(right, "other").select("id", F.col("other").alias("first"), "a", "at", "b", "bt")
+        return both.mapInArrow(_alike(self.shared), "id long, first long").withColumnRenamed("first", "other")
+
+    def _history(self, batch: DataFrame, entries: DataFrame, tmp: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+        """(id, first): the smallest first row of every row told before; and (id, tree, first): the nodes of the batch that hold a story already."""
+        if not self.m.forest:
+            return None, None
+        stories = self._runs(self.m.stories, "id long, first long, words array<int>, total double")
+        hits = near = None
+        for depth in self.p.depths():
+            seen = []
+            for parts, block in self._blocks(entries):
+                forest = self._runs(self.m.forest, "tree int, key long, id long, first long, part int").where(F.col("part").isin(parts))
+                node = F.broadcast(block.select("id", "tree", _node(depth).alias("node")))
+                seen.append(tmp(forest.select(F.col("id").alias("other"), F.coalesce("first", "id").alias("first"), _node(depth).alias("node")).join(node, "node").select("id", "tree", "other", "first"), "story-near"))
+            if not seen:
+                return None, None
+            few = sum(map(rows_of, seen)) <= 1000
+            near = seen[0]
+            for x in seen[1:]:
+                near = near.unionByName(x)
+            # First the story's own first row; its variants only where that one isn't told.
+            roots = self._verified(_better(near.select("id", F.col("first").alias("other"), "first"), hits).select("id", "other"), batch, stories, few).select("id", F.col("other").alias("first"))
+            hits = bounded_broadcast(tmp(_least(roots, hits), "story-hits"))
+        more = tmp(_better(near.where("other <> first").select("id", "other", "first").distinct(), hits), "story-variants")
+        if rows_of(more):
+            also = self._verified(more.select("id", "other"), batch, stories, rows_of(more) <= 1000).join(more, ["id", "other"]).select("id", "first")
+            hits = bounded_broadcast(tmp(_least(also, hits), "story-hits"))
+        return hits, near.select("id", "tree", "first")
+
+    def _within(self, batch: DataFrame, entries: DataFrame, hits: DataFrame | None, tmp: Scratch) -> list[DataFrame]:
+        """(id, other): links among the rows of one batch, of rows not told before."""
+        keyed = entries.select("id", _node(self.p.depths()[-1]).alias("node"))
+        nodes = keyed.groupBy("node").agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n > 1")
+        shared = keyed.join(nodes, "node")
+        shared = shared.join(hits.select("id", F.lit(True).alias("told")), "id", "left") if hits is not None else shared.withColumn("told", F.lit(None).cast("boolean"))
+        shared = tmp(shared, "story-shared")
+        if not rows_of(shared):
+            return []
+        star = tmp(self._verified(shared.where("told IS NULL AND id <> other").select("id", "other"), batch, batch), "story-star")
+        open_ = tmp(shared.where("told IS NULL AND id <> other").join(star.select("id"), "id", "left_anti").select("node", "id", "n"), "story-open")
+        if not rows_of(open_):
+            return [star]
+        # The rest against all rows of its nodes, in blocks: each meets every salt of the other side once.
+        sizes = open_.groupBy("node", "n").agg(F.count("*").alias("m"))
+        sizes = sizes.select("node", F.ceil(F.col("m") / self.p.block_rows).cast("int").alias("rows"), F.ceil(F.col("n") / self.p.block_rows).cast("int").alias("cols"))
+        salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = open_.drop("n").join(sizes, "node").select("node", "id", salt("rows").alias("r"), upto("cols").alias("c"))
+        y = shared.select("node", "id", F.col("other").alias("head")).where("id <> head").join(sizes, "node").select("node", F.col("id").alias("other"), salt("cols").alias("c"), upto("rows").alias("r"))
+        pairs = x.join(y, ["node", "r", "c"]).where("other < id").select("id", "other")
+        return [star, tmp(self._verified(pairs, batch, batch), "story-rest")]
+
+    def _accept(self, tokens: DataFrame, batch: DataFrame, entries: DataFrame, firsts: DataFrame, found: DataFrame, leads: DataFrame | None, tmp: Scratch) -> None:
+        """Add the batch: word sets, entries as a sorted run, line counts; then the manifest."""
+        rows = batch.join(firsts, "id", "left").select("id", "first", "words", "total")
+        rows.sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/{(stories := self._relative('stories'))}")
+        new = entries.join(firsts, "id", "left")
+        plain, variants = new.where("first IS NULL"), new.where("first IS NOT NULL")
+        if leads is not None:
+            variants = variants.join(leads, ["id", "tree", "first"], "left_anti")
+        # A variant only where its story, in this batch too, has no entry of that prefix.
+        node = _node(self.p.depths()[-1])
+        variants = variants.withColumn("node", node).groupBy("part", "node", "first").agg(F.min_by(F.struct("tree", "key", "id"), "id").alias("e"))
+        held = plain.select(node.alias("node"), F.col("id").alias("first"))
+        variants = variants.join(held, ["node", "first"], "left_anti").select("part", "e.tree", "e.key", "e.id", "first")
+        run = plain.select("part", "tree", "key", "id", "first").unionByName(variants)
+        names = self.m.forest
+        if len(names) >= max(2, self.p.max_runs):
+            # The first run, the first batch, is never rewritten.
+            run = self._runs(names[1:], "tree int, key long, id long, first long, part int").select("part", "tree", "key", "id", "first").unionByName(run)
+            names = names[:1]
+        forest = self._relative("forest")
+        run.repartitionByRange("part", "key").sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{forest}")
+        told = tokens.select("id", "src", "lines").join(bounded_broadcast(found).select("id", F.lit(True).alias("told")), "id", "left").select("src", "lines", F.col("told").isNull().alias("new"))
+        counts, line_runs = self._counted(told), self.m.lines
+        if len(line_runs) >= max(2, self.p.max_runs):
+            counts = self._runs(line_runs[1:], "h long, n long, told long").unionByName(counts).groupBy("h").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
+            line_runs = line_runs[:1]
+        lines = self._relative("lines")
+        counts.write.mode("overwrite").parquet(f"{self.path}/{lines}")
+        former = set(self.m.forest) | set(self.m.lines)
+        self.m.forest, self.m.lines, self.m.stories = [*names, forest], [*line_runs, lines], [*self.m.stories, stories]
+        self.m.batches += 1
+        put_text(self.spark, f"{self.path}/manifest/{self.m.batches:09d}.json", json.dumps(asdict(self.m)))
+        for gone in former - set(self.m.forest) - set(self.m.lines):
+            drop_path(self.spark, f"{self.path}/{gone}")
+
+    def _relative(self, kind: str) -> str:
+        return self._named(kind)[len(self.path) + 1 :]
+
+
+def _roots(links: list[DataFrame], hits: DataFrame | None, tmp: Scratch) -> DataFrame:
+    """Every row linked within the batch with the first row its links lead to."""
+    if not links:
+        return tmp(tmp.spark.createDataFrame([], "id long, first long"), "story-roots")
     both = links[0]
     for x in links[1:]:
         both = both.unionByName(x)
-    now = materialize(both.groupBy("id").agg(F.min("first").alias("first")), "story-roots")
+    if hits is not None:
+        both = both.join(hits.select(F.col("id").alias("other"), "first"), "other", "left")
+    up = F.coalesce("first", "other") if hits is not None else F.col("other")
+    now = tmp(both.groupBy("id").agg(F.min(up).alias("first")), "story-roots")
     while True:
-        nxt = now.join(now.select(F.col("id").alias("first"), F.col("first").alias("up")), "first", "left")
-        if nxt.where("up IS NOT NULL").isEmpty():
+        moving = tmp(now.join(bounded_broadcast(now).select(F.col("id").alias("first"), F.col("first").alias("up")), "first").select("id", "up"), "story-moving")
+        if not rows_of(moving):
             return now
-        now = materialize(nxt.select("id", F.coalesce("up", "first").alias("first")), "story-roots")
+        now = tmp(now.join(bounded_broadcast(moving), "id", "left").select("id", F.coalesce("up", "first").alias("first")), "story-roots")
 
 
-def prepare(df: DataFrame, key: str, body: str, source: str, batch: str, p: Forest) -> tuple[DataFrame, object]:
-    """Word sets and forest keys of every row with words, and the broadcast statistics."""
-    spark = df.sparkSession
-    ship(spark)
-    c = lambda n: F.col(f"`{n}`")
-    kept = df.where(c(body).rlike(r"(?U)\w")).select(c(key).cast("long").alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).cast("string").alias("source"), c(body).alias("body"))
-    tokens = materialize(kept.mapInPandas(_tokenise, "id long, batch int, src long, words array<int>, lines array<long>, sizes array<int>"), "story-words")
-    shared = spark.sparkContext.broadcast(statistics(tokens, p))
-    # The words in order are only needed here.
-    rows = materialize(tokens.mapInPandas(_sign(shared), "id long, batch int, words array<int>, total double, keys array<long>"), "story-rows")
-    if files := tokens.inputFiles():
-        drop_path(spark, files[0].rpartition("/")[0])
-    return rows, shared
+def _better(pairs: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """Of (id, other, first) those whose first row is smaller than the one ``id`` has."""
+    if hits is None:
+        return pairs
+    return pairs.join(hits.withColumnRenamed("first", "have"), "id", "left").where("have IS NULL OR first < have").drop("have")
+
+
+def _least(found: DataFrame, hits: DataFrame | None) -> DataFrame:
+    both = found if hits is None else found.unionByName(hits)
+    return both.groupBy("id").agg(F.min("first").alias("first"))
 
 
 def repeats(
-    df: DataFrame, key: str = "rec_id", body: str = "body", source: str = "newsletter", batch: str = "batch_no", p: Forest | None = None, batches_per_check: int | None = None,
+    df: DataFrame, key: str = "rec_id", body: str = "body", source: str = "newsletter", batch: str = "batch_no", p: Forest | None = None, batches_per_check: int | None = 1, path: str | None = None,
 ) -> DataFrame:
-    """(first_<key>, <key>) of every row that repeats an earlier one.
+    """(first_<key>, <key>) of every row that repeats an earlier one, by an index that is created below ``path`` from the first batch and takes the later ones in order.
 
-    The first batch is the history and is only indexed. ``batches_per_check`` later batches are checked at a time (all of
-    them when None: a backlog); the result is the same for every choice, as a batch's rows are checked among themselves too.
+    ``batches_per_check`` later batches are checked at a time (all of them when None: a backlog).
     """
-    p = p or Forest()
-    rows, shared = prepare(df, key, body, source, batch, p)
-    index = StoryIndex(rows, shared, p)
+    spark = df.sparkSession
+    c = lambda n: F.col(f"`{n}`")
+    rows = df.select(c(key).alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).alias("source"), c(body).alias("body"))
     numbers = [r.batch for r in rows.select("batch").distinct().orderBy("batch").collect()]
-    out = df.sparkSession.createDataFrame([], "id long, first long")
+    out = spark.createDataFrame([], "id long, first long")
     if numbers:
-        index.accept(rows.where(F.col("batch") == numbers[0]).select("id", "keys"))
+        index, own = StoryIndex.create(spark, path or scratch(spark, "story-index"), rows.where(F.col("batch") == numbers[0]), p)
+        out = out.unionByName(own)
     later = numbers[1:]
     step = batches_per_check or max(1, len(later))
     for i in range(0, len(later), step):
-        part = rows.where(F.col("batch").between(later[i], later[min(i + step, len(later)) - 1])).select("id", "keys")
-        out = out.unionByName(index.check(part).select("id", "first"))
+        out = out.unionByName(index.check(rows.where(F.col("batch").between(later[i], later[min(i + step, len(later)) - 1]))))
     return out.select(F.col("first").alias(f"first_{key}"), F.col("id").alias(key))
