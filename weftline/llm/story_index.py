@@ -17,12 +17,12 @@ key of three MinHash values (32, 16 and 16 bits), so equal leading bits mean equ
 sorted column of keys. Entries are kept as runs, partitioned by range (tree and leading bits of the key) and sorted. A
 batch's entries are located by range: only the ranges that hold one of their prefixes are read, each once, against at
 most ``block_entries`` entries at a time, and no entry of the history is shuffled while the batch is small enough to be
-sent. The whole key is looked up first, then shorter prefixes until the expected recall at the least similarity reaches
-the target; a row found at a long prefix is only compared with candidates of smaller first rows at a shorter one.
-Candidates are verified exactly: the weight of the shared words over that of the lighter side.
+sent. The prefix is widened from the whole key until the expected recall at the least similarity reaches the target; the
+ranges of longer prefixes lie within it, so all of them are searched before the smallest first row is chosen. Candidates
+are verified exactly: the weight of the shared words over that of the lighter side.
 
 Hot groups: rows with equal word sets are one entry. In a node of the batch every row is compared with the node's first
-row, what is found leaves, and the rest is compared with all rows of the node in salted blocks of ``block_rows`` by
+row only; what isn't told by it or by an accepted row is compared with all rows of the node, in salted blocks of ``block_rows`` by
 ``block_rows``. A repeat with other words than its first row is entered only where that row's story has no entry with its
 prefix yet, so a story told in a third of all rows takes one entry a node. Runs are merged when they are many.
 
@@ -69,10 +69,12 @@ class Forest:
     block_rows: int = 64
     max_runs: int = 6
 
-    def depths(self) -> list[int]:
-        """Prefix lengths in values: the whole key, then the longest prefix whose expected recall reaches the target."""
-        reached = [d for d in (3, 2, 1) if 1 - (1 - self.least_jaccard**d) ** self.trees >= self.recall]
-        return sorted({3, max(reached, default=1)}, reverse=True)
+    def depth(self) -> int:
+        """Prefix length in values: the whole key, widened until the expected recall at the least similarity reaches the target."""
+        depth = 3
+        while depth > 1 and 1 - (1 - self.least_jaccard**depth) ** self.trees < self.recall:
+            depth -= 1
+        return depth
 
 
 _MARKUP = re.compile(r"<[^<>\n]*>?|https?://\S+|\\[a-z]+\{?|\{\{[a-z]+\||&#?\w+;|\{\|[^\n]*")
@@ -329,13 +331,20 @@ class StoryIndex:
         place = F.shiftleft(F.col("tree"), self.m.bits) + F.shiftrightunsigned("key", 64 - self.m.bits).cast("int") if self.m.bits else F.col("tree")
         entries = tmp(batch.select("id", F.posexplode("keys").alias("tree", "key")).withColumn("part", place), "story-entries")
         batch = batch.drop("keys")
-        hits, leads = self._history(batch, entries, tmp)
-        links = self._within(batch, entries, hits, tmp)
-        own = _roots(links, hits, tmp)
-        firsts = own if hits is None else own.unionByName(hits)
-        told = copies.withColumnRenamed("first", "up").join(firsts.withColumnsRenamed({"id": "up"}), "up", "left").select("id", F.coalesce("first", "up").alias("first"))
-        found = materialize(firsts.unionByName(told), "found", self._named("found"))
-        self._accept(tokens, batch, entries, firsts, found, leads, tmp)
+        shared, heads = self._nodes(entries, tmp)
+        near = self._near(entries, tmp)
+        stories = batch.select("id", F.lit(None).cast("long").alias("first"), "words", "total")
+        if self.m.forest:
+            stories = stories.unionByName(self._runs(self.m.stories, "id long, first long, words array<int>, total double"))
+        # One comparison for both: the first rows of the stories in a row's nodes, and the first rows of its nodes in the batch.
+        roots = near.select("id", F.col("first").alias("other")).unionByName(heads)
+        told = bounded_broadcast(tmp(_least(self._verified(roots, batch, stories)), "story-hits"))
+        # Variants only where their story's own first row, or an earlier one, isn't told.
+        links = [told, *self._variants(near, told, batch, stories, tmp), *self._within(shared, told, batch, tmp)]
+        firsts = _roots(links, tmp)
+        copied = copies.withColumnRenamed("first", "up").join(firsts.withColumnsRenamed({"id": "up"}), "up", "left").select("id", F.coalesce("first", "up").alias("first"))
+        found = materialize(firsts.unionByName(copied), "found", self._named("found"))
+        self._accept(tokens, batch, entries, firsts, found, near.select("id", "tree", "first"), tmp)
         return found
 
     def _signed(self, tokens: DataFrame, tmp: Scratch) -> DataFrame:
@@ -376,67 +385,65 @@ class StoryIndex:
         if taken:
             yield taken, entries if len(taken) == len(sizes) else entries.where(F.col("part").isin(taken))
 
-    def _verified(self, pairs: DataFrame, batch: DataFrame, others: DataFrame, few: bool = False) -> DataFrame:
+    def _verified(self, pairs: DataFrame, batch: DataFrame, others: DataFrame) -> DataFrame:
         """(id, other): pairs that tell the same story. Word sets are cut to those of the pairs before they are shuffled."""
         pairs = pairs.distinct()
-        wanted = pairs.select(F.col("other").alias("id")).distinct()
-        if few:
-            # Few candidates: their ids prune the files, which are sorted by id.
-            others = others.where(F.col("id").isin([r.id for r in wanted.collect()]))
         left = batch.join(pairs, "id").select("id", "other", F.col("words").alias("a"), F.col("total").alias("at"))
-        right = others.join(wanted, "id", "left_semi").select(F.col("id").alias("other"), F.col("words").alias("b"), F.col("total").alias("bt"))
+        right = others.join(pairs.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("other"), F.col("words").alias("b"), F.col("total").alias("bt"))
         both = left.join(right, "other").select("id", F.col("other").alias("first"), "a", "at", "b", "bt")
         return both.mapInArrow(_alike(self.shared), "id long, first long").withColumnRenamed("first", "other")
 
-    def _history(self, batch: DataFrame, entries: DataFrame, tmp: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
-        """(id, first): the smallest first row of every row told before; and (id, tree, first): the nodes of the batch that hold a story already."""
+    def _near(self, entries: DataFrame, tmp: Scratch) -> DataFrame:
+        """(id, tree, other, first): accepted rows in the nodes of the batch, ``first`` being the row that ``other`` repeats or itself.
+
+        The prefix is widened from the whole key to the length whose expected recall reaches the target. As a longer
+        prefix's range lies within the shorter one's, each block of ranges is read once and searched at the last length.
+        """
+        seen = []
+        for parts, block in self._blocks(entries) if self.m.forest else ():
+            forest = self._runs(self.m.forest, "tree int, key long, id long, first long, part int").where(F.col("part").isin(parts))
+            node = F.broadcast(block.select("id", "tree", _node(self.p.depth()).alias("node")))
+            seen.append(tmp(forest.select(F.col("id").alias("other"), F.coalesce("first", "id").alias("first"), _node(self.p.depth()).alias("node")).join(node, "node").select("id", "tree", "other", "first"), "story-near"))
+        near = seen[0] if seen else self.spark.createDataFrame([], "id long, tree int, other long, first long")
+        for x in seen[1:]:
+            near = near.unionByName(x)
+        return near
+
+    def _variants(self, near: DataFrame, told: DataFrame, batch: DataFrame, stories: DataFrame, tmp: Scratch) -> list[DataFrame]:
+        """(id, first) found through accepted repeats with other words than their first row, of rows that first row or a smaller one doesn't tell."""
         if not self.m.forest:
-            return None, None
-        stories = self._runs(self.m.stories, "id long, first long, words array<int>, total double")
-        hits = near = None
-        for depth in self.p.depths():
-            seen = []
-            for parts, block in self._blocks(entries):
-                forest = self._runs(self.m.forest, "tree int, key long, id long, first long, part int").where(F.col("part").isin(parts))
-                node = F.broadcast(block.select("id", "tree", _node(depth).alias("node")))
-                seen.append(tmp(forest.select(F.col("id").alias("other"), F.coalesce("first", "id").alias("first"), _node(depth).alias("node")).join(node, "node").select("id", "tree", "other", "first"), "story-near"))
-            if not seen:
-                return None, None
-            few = sum(map(rows_of, seen)) <= 1000
-            near = seen[0]
-            for x in seen[1:]:
-                near = near.unionByName(x)
-            # First the story's own first row; its variants only where that one isn't told.
-            roots = self._verified(_better(near.select("id", F.col("first").alias("other"), "first"), hits).select("id", "other"), batch, stories, few).select("id", F.col("other").alias("first"))
-            hits = bounded_broadcast(tmp(_least(roots, hits), "story-hits"))
-        more = tmp(_better(near.where("other <> first").select("id", "other", "first").distinct(), hits), "story-variants")
-        if rows_of(more):
-            also = self._verified(more.select("id", "other"), batch, stories, rows_of(more) <= 1000).join(more, ["id", "other"]).select("id", "first")
-            hits = bounded_broadcast(tmp(_least(also, hits), "story-hits"))
-        return hits, near.select("id", "tree", "first")
-
-    def _within(self, batch: DataFrame, entries: DataFrame, hits: DataFrame | None, tmp: Scratch) -> list[DataFrame]:
-        """(id, other): links among the rows of one batch, of rows not told before."""
-        keyed = entries.select("id", _node(self.p.depths()[-1]).alias("node"))
-        nodes = keyed.groupBy("node").agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n > 1")
-        shared = keyed.join(nodes, "node")
-        shared = shared.join(hits.select("id", F.lit(True).alias("told")), "id", "left") if hits is not None else shared.withColumn("told", F.lit(None).cast("boolean"))
-        shared = tmp(shared, "story-shared")
-        if not rows_of(shared):
             return []
-        star = tmp(self._verified(shared.where("told IS NULL AND id <> other").select("id", "other"), batch, batch), "story-star")
-        open_ = tmp(shared.where("told IS NULL AND id <> other").join(star.select("id"), "id", "left_anti").select("node", "id", "n"), "story-open")
+        more = near.where("other <> first").select("id", "other", "first").distinct().join(told.withColumnRenamed("first", "have"), "id", "left").where("have IS NULL OR first < have").drop("have")
+        more = tmp(more, "story-variants")
+        if not rows_of(more):
+            return []
+        few = [r.other for r in more.select("other").distinct().collect()] if rows_of(more) <= 1000 else None
+        if few:
+            # Few candidates: their ids prune the files, which are sorted by id.
+            stories = stories.where(F.col("id").isin(few))
+        return [tmp(self._verified(more.select("id", "other"), batch, stories).join(more, ["id", "other"]).select("id", "first"), "story-variants")]
+
+    def _nodes(self, entries: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+        """Rows of the batch that share a node, with its first row and size; and (id, other): each row with its nodes' first rows."""
+        keyed = entries.select("id", _node(self.p.depth()).alias("node"))
+        nodes = keyed.groupBy("node").agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n > 1")
+        shared = tmp(keyed.join(nodes, "node"), "story-shared")
+        return shared, shared.where("id <> other").select("id", "other")
+
+    def _within(self, shared: DataFrame, told: DataFrame, batch: DataFrame, tmp: Scratch) -> list[DataFrame]:
+        """(id, first): links within the batch of rows that no first row of a node or story tells."""
+        open_ = tmp(shared.where("id <> other").join(told.select("id"), "id", "left_anti").select("node", "id", "n"), "story-open")
         if not rows_of(open_):
-            return [star]
+            return []
         # The rest against all rows of its nodes, in blocks: each meets every salt of the other side once.
         sizes = open_.groupBy("node", "n").agg(F.count("*").alias("m"))
         sizes = sizes.select("node", F.ceil(F.col("m") / self.p.block_rows).cast("int").alias("rows"), F.ceil(F.col("n") / self.p.block_rows).cast("int").alias("cols"))
         salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         x = open_.drop("n").join(sizes, "node").select("node", "id", salt("rows").alias("r"), upto("cols").alias("c"))
-        y = shared.select("node", "id", F.col("other").alias("head")).where("id <> head").join(sizes, "node").select("node", F.col("id").alias("other"), salt("cols").alias("c"), upto("rows").alias("r"))
+        y = shared.where("id <> other").join(sizes, "node").select("node", F.col("id").alias("other"), salt("cols").alias("c"), upto("rows").alias("r"))
         pairs = x.join(y, ["node", "r", "c"]).where("other < id").select("id", "other")
-        return [star, tmp(self._verified(pairs, batch, batch), "story-rest")]
+        return [tmp(self._verified(pairs, batch, batch).select("id", F.col("other").alias("first")), "story-rest")]
 
     def _accept(self, tokens: DataFrame, batch: DataFrame, entries: DataFrame, firsts: DataFrame, found: DataFrame, leads: DataFrame | None, tmp: Scratch) -> None:
         """Add the batch: word sets, entries as a sorted run, line counts; then the manifest."""
@@ -447,7 +454,7 @@ class StoryIndex:
         if leads is not None:
             variants = variants.join(leads, ["id", "tree", "first"], "left_anti")
         # A variant only where its story, in this batch too, has no entry of that prefix.
-        node = _node(self.p.depths()[-1])
+        node = _node(self.p.depth())
         variants = variants.withColumn("node", node).groupBy("part", "node", "first").agg(F.min_by(F.struct("tree", "key", "id"), "id").alias("e"))
         held = plain.select(node.alias("node"), F.col("id").alias("first"))
         variants = variants.join(held, ["node", "first"], "left_anti").select("part", "e.tree", "e.key", "e.id", "first")
@@ -477,17 +484,12 @@ class StoryIndex:
         return self._named(kind)[len(self.path) + 1 :]
 
 
-def _roots(links: list[DataFrame], hits: DataFrame | None, tmp: Scratch) -> DataFrame:
-    """Every row linked within the batch with the first row its links lead to."""
-    if not links:
-        return tmp(tmp.spark.createDataFrame([], "id long, first long"), "story-roots")
+def _roots(links: list[DataFrame], tmp: Scratch) -> DataFrame:
+    """Every linked row with the first row its links lead to, through other rows of its batch too."""
     both = links[0]
     for x in links[1:]:
         both = both.unionByName(x)
-    if hits is not None:
-        both = both.join(hits.select(F.col("id").alias("other"), "first"), "other", "left")
-    up = F.coalesce("first", "other") if hits is not None else F.col("other")
-    now = tmp(both.groupBy("id").agg(F.min(up).alias("first")), "story-roots")
+    now = tmp(both.groupBy("id").agg(F.min("first").alias("first")), "story-roots") if len(links) > 1 else both
     while True:
         moving = tmp(now.join(bounded_broadcast(now).select(F.col("id").alias("first"), F.col("first").alias("up")), "first").select("id", "up"), "story-moving")
         if not rows_of(moving):
@@ -495,16 +497,8 @@ def _roots(links: list[DataFrame], hits: DataFrame | None, tmp: Scratch) -> Data
         now = tmp(now.join(bounded_broadcast(moving), "id", "left").select("id", F.coalesce("up", "first").alias("first")), "story-roots")
 
 
-def _better(pairs: DataFrame, hits: DataFrame | None) -> DataFrame:
-    """Of (id, other, first) those whose first row is smaller than the one ``id`` has."""
-    if hits is None:
-        return pairs
-    return pairs.join(hits.withColumnRenamed("first", "have"), "id", "left").where("have IS NULL OR first < have").drop("have")
-
-
-def _least(found: DataFrame, hits: DataFrame | None) -> DataFrame:
-    both = found if hits is None else found.unionByName(hits)
-    return both.groupBy("id").agg(F.min("first").alias("first"))
+def _least(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("id").agg(F.min("other").alias("first"))
 
 
 def repeats(
