@@ -397,3 +397,43 @@ def test_queries_are_registered():
     names = set(e.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_containers"} <= names
     assert set(e.oracle_sql()) <= names and json.dumps(sorted(names))
+
+
+def test_lines_of_rare_clusters_are_never_counted(spark):
+    """LSH clusters choose the lines: those of rare clusters are no candidates, near-duplicates of house lines are."""
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        house = f"You are reading the {rng.choice(['Morning', 'Evening', 'Weekly'])} letter from {rng.choice(['Oslo', 'Bergen', 'Tromsø'])} and we print {i} copies of it for friends of the paper"
+        rows.append((i, "a", "\n".join([*(" ".join("".join(rng.choices("bcdfglmnprstvwaeiou", k=8)) for _ in range(9)) for _ in range(3)), house])))
+    df = spark.createDataFrame(rows, "rec_id long, newsletter string, body string")
+    lines = house_lines.lines_of(df, "rec_id", "newsletter", "body")
+    hot = house_lines.materialize(house_lines.hot_clusters(lines, 8), "hot")
+    kept = {(r._id, r.no) for r in house_lines.candidates(lines, hot).select("_id", "no").collect()}
+    assert kept >= {(i, 3) for i in range(40)} and len(kept) < 80 < lines.count()
+    # Nine wordings differ in their letters; the masked words of all of them are the same.
+    whole = {tuple(r) for r in house_lines.repeated_lines(df, "rec_id", "newsletter", "body", exact=False).collect()}
+    exact = {tuple(r) for r in house_lines.repeated_lines(df, "rec_id", "newsletter", "body").collect()}
+    assert whole == {(i, 3) for i in range(40)} and exact < whole
+
+
+def test_line_hashes_agree_with_letters():
+    lines = ["Issue no. 5", "ISSUE  NO. 77!", "Iѕsue no.", "", "42", "ｉｓｓｕｅ ｎｏ", "Straße", "STRASSE", "café", "CAFÉ", "東京 5", "東京", "ab", "a b", "x"]
+    count, a, b, run, _ = house_lines.line_hashes(lines)
+    keys = [folding.letters(x) for x in lines]
+    for i, x in enumerate(keys):
+        assert count[i] == len(x)
+        for j, y in enumerate(keys):
+            assert ((a[i], b[i]) == (a[j], b[j])) == (x == y) and (x != y or run[i] == run[j])
+
+
+def test_classes_take_plain_values_and_what_collation_joins(spark):
+    # "re\u0001port" and "report" are different mapped strings that the accent-sensitive collation holds equal; the plain value is canonical.
+    rows = [(1, "ｒｅport", None), (2, "re\u0001рort", None), (3, "report", None), (4, "Ꮲlant", "ᴛʜᴇ Ⅳ"), (5, "résumé", None), (6, "rеsume", None)]
+    df = spark.createDataFrame(rows, "id long, title string, body string")
+    got = {(r.id, r.field): r.canonical for r in lookalikes.variants(df, "id", ["title", "body"]).collect()}
+    assert got == {(1, "title"): "report", (2, "title"): "report", (4, "title"): "Plant", (4, "body"): "the IV", (6, "title"): "resume"}
+
+
+def test_fold_takes_the_confusables():
+    cases = {"ѕаmрӏе": "sampie", "Ꮲroject": "Project", "հouse": "house", "teѕtг": "testr", "γ-ray": "γ-ray", "β-Test": "β-Test", "kΩ": "kΩ", "сосiд": "сосiд", "հնարավոր": "հնարավոր", "Ⓐbc": "Abc", "no ① ²": "no ① ²", "ａ́": "á"}
+    assert {k: folding.fold(k) for k in cases} == cases

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -12,15 +14,29 @@ _IS_WORD = np.array([chr(b).isalnum() or b == 95 if b < 128 else True for b in r
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, at least ``n`` of each."""
     size = 1 << max(16, (n - 1).bit_length())
     if size not in _POWERS:
-        _POWERS.clear()
+        if len(_POWERS) > 1:
+            _POWERS.clear()
         with np.errstate(over="ignore"):
             _POWERS[size] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_P, _INVERSE))
     return _POWERS[size]
 
 
+def spans(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges whose sizes add up to at most ``most`` (a larger item is a range of its own), so long texts don't meet in one array."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total + n > most and i > start:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(30))) * _MIX[0]
@@ -35,7 +51,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
     edges = np.diff(np.concatenate([[False], _IS_WORD[data], [False]]).astype(np.int8))
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    power, inverse = _powers(len(data))
+    power, inverse = powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
         h = mix((sums[end] - sums[start]) * inverse[start])

@@ -1,8 +1,11 @@
 """Problem 7: text that looks the same but is built from different characters gets one consistent form.
 
-Every value that can change is mapped by :func:`weftline.llm.folding.fold`; mapped values that are equal under the
-accent-sensitive Unicode collation form one equivalence class in SQL; the class's canonical member is its least plain
-form by code point, so it doesn't depend on partitioning or order; and the member is joined back to every value.
+Every value that can change is mapped by :func:`weftline.llm.folding.fold`. Values of the whole table that share a
+mapped form, those that need no mapping too, and mapped forms that are equal under the accent-sensitive Unicode
+collation, which also disregards control characters, form one equivalence class in SQL. The class's canonical member is
+a form that stands in the table as it is, if there is one, else a mapped one, the least by code point; so it doesn't
+depend on partitioning or order. It is joined back to every member. Values without any such partner are never shuffled:
+they are found by the hashes of the mapped forms, which are sent to the scan while they are few.
 
 Defined results: null stays null, '' stays '', ASCII values are their own form (they never leave the scan), repeated
 rows each get the form of their class, an empty table gives an empty result, extra columns are kept as they are.
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.folding import SUSPECT, fold
-from weftline.runtime import materialize, ship
+from weftline.runtime import bounded_broadcast, materialize, ship
 
 
 @F.pandas_udf(T.StringType())
@@ -38,15 +41,20 @@ def variants(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     values = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields))
-    odd = df.select(F.col(f"`{key}`").alias(key), F.explode(F.filter(values, lambda v: suspect(v["text"]))).alias("v")).select(key, "v.field", "v.text")
-    mapped = materialize(odd.withColumn("mapped", fold_text("text")).where("mapped <> text"), "lookalike")
+    each = df.select(F.col(f"`{key}`").alias(key), F.explode(values).alias("v")).select(key, "v.field", "v.text").where("text IS NOT NULL")
+    mapped = materialize(each.where(suspect(F.col("text"))).withColumn("mapped", fold_text("text")), "lookalike")
+    changed = mapped.where("mapped <> text")
+    forms = bounded_broadcast(materialize(changed.select(F.xxhash64("mapped").alias("h")).distinct(), "lookalike-forms"))
+    plain = each.where(~suspect(F.col("text"))).select("text").unionByName(mapped.where("mapped = text").select("text")).withColumn("h", F.xxhash64("text"))
+    plain = plain.join(forms, "h", "left_semi").select(F.col("text").alias("form"), F.lit(0).alias("rank"))
+    forms = changed.select(F.col("mapped").alias("form"), F.lit(1).alias("rank")).unionByName(plain)
     classes = spark.sql(
-        "SELECT collate(mapped, 'UNICODE') AS class, min(mapped) AS canonical FROM {mapped} GROUP BY collate(mapped, 'UNICODE')",
-        mapped=mapped,
+        "SELECT collate(form, 'UNICODE') AS class, min(struct(rank, form)).form AS canonical FROM {forms} GROUP BY collate(form, 'UNICODE')",
+        forms=forms,
     )
     return spark.sql(
-        f"SELECT m.`{key}`, m.field, m.text, c.canonical FROM {{mapped}} m JOIN {{classes}} c ON collate(m.mapped, 'UNICODE') = c.class WHERE m.text <> c.canonical",
-        mapped=mapped, classes=classes,
+        f"SELECT m.`{key}`, m.field, m.text, c.canonical FROM {{changed}} m JOIN {{classes}} c ON collate(m.mapped, 'UNICODE') = c.class WHERE m.text <> c.canonical",
+        changed=changed, classes=classes,
     )
 
 

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.folding import fold
-from weftline.llm.hashing import mix, words
+from weftline.llm.hashing import mix, spans, words
 from weftline.runtime import Scratch, bounded_broadcast, drop_path, last_text, materialize, put_text, rows_of, scratch, ship
 
 
@@ -114,22 +114,27 @@ def _once(values: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = b.num_rows
-        h, row, first, start = words(data := [_plain(x).encode("utf-8", "surrogatepass") for x in b.column("body").to_pylist()])
-        joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-        line = np.cumsum(joined == 10)[start] if len(start) else start
-        new = np.flatnonzero(np.diff(line, prepend=-1)) if len(start) else np.zeros(0, np.int64)
-        letters = (first < 48) | (first > 57)
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(np.where(letters, mix(h), np.uint64(0)), new) if len(new) else np.zeros(0, np.uint64)
-            source = pd.util.hash_array(np.array([x or "" for x in b.column("source").to_pylist()], object)).astype(np.uint64)
-            keys = np.where(sums == 0, np.uint64(0), mix(sums + mix(source)[row[new]] if len(new) else sums))
-        lengths = np.diff(np.append(new, len(start))).astype(np.int32)
-        of = row[new] if len(new) else new
-        yield pa.RecordBatch.from_arrays([
-            b.column("id"), pa.array(mix(source ^ _SOURCE).view(np.int64)), _as_lists((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, n), _as_lists(keys.view(np.int64), of, n), _as_lists(lengths, of, n),
-        ], ["id", "src", "words", "lines", "sizes"])
+    for whole in batches:
+        for a, z in spans(pc.utf8_length(whole.column("body")).to_pylist()):
+            yield _tokens_of(whole.slice(a, z - a))
+
+
+def _tokens_of(b: pa.RecordBatch) -> pa.RecordBatch:
+    n = b.num_rows
+    h, row, first, start = words(data := [_plain(x).encode("utf-8", "surrogatepass") for x in b.column("body").to_pylist()])
+    joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+    line = np.cumsum(joined == 10)[start] if len(start) else start
+    new = np.flatnonzero(np.diff(line, prepend=-1)) if len(start) else np.zeros(0, np.int64)
+    letters = (first < 48) | (first > 57)
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(np.where(letters, mix(h), np.uint64(0)), new) if len(new) else np.zeros(0, np.uint64)
+        source = pd.util.hash_array(np.array([x or "" for x in b.column("source").to_pylist()], object)).astype(np.uint64)
+        keys = np.where(sums == 0, np.uint64(0), mix(sums + mix(source)[row[new]] if len(new) else sums))
+    lengths = np.diff(np.append(new, len(start))).astype(np.int32)
+    of = row[new] if len(new) else new
+    return pa.RecordBatch.from_arrays([
+        b.column("id"), pa.array(mix(source ^ _SOURCE).view(np.int64)), _as_lists((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), row, n), _as_lists(keys.view(np.int64), of, n), _as_lists(lengths, of, n),
+    ], ["id", "src", "words", "lines", "sizes"])
 
 
 _TOKENS = "id long, src long, words array<int>, lines array<long>, sizes array<int>"
