@@ -437,3 +437,40 @@ def test_classes_take_plain_values_and_what_collation_joins(spark):
 def test_fold_takes_the_confusables():
     cases = {"ѕаmрӏе": "sampie", "Ꮲroject": "Project", "հouse": "house", "teѕtг": "testr", "γ-ray": "γ-ray", "β-Test": "β-Test", "kΩ": "kΩ", "сосiд": "сосiд", "հնարավոր": "հնարավոր", "Ⓐbc": "Abc", "no ① ²": "no ① ²", "ａ́": "á"}
     assert {k: folding.fold(k) for k in cases} == cases
+
+
+@given(st.text(alphabet="<>/bpitdul&;#*_`[](){}\\|=~'$!-: \nax1", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_what_is_taken_out_is_what_a_rule_may_act_on(x):
+    """Every match of a pattern is consumed by its rule, and nothing is consumed without one."""
+    clean, kinds = markup.take_out(x)
+    t = folding.fold(x)
+    html = markup._TAG.search(t) or markup._COMMENT.search(t) and ("<" in t or "-->" in t) or any(map(markup.entity, markup._ENTITY.finditer(t)))
+    assert bool(kinds) == bool(html or any(p.search(t) for p in markup._SYNTAX.values()))
+    assert kinds or clean == x
+
+
+def test_depth_has_no_bound():
+    r = markup.render
+    assert r("<noscript>" + "<b>" * 70 + "hidden</noscript>visible") == "visible"
+    assert r("<i>" * 5000 + "x" + "</i>" * 5000 + "<p>y") == "x\ny" or "y" in r("<i>" * 5000 + "x" + "</i>" * 5000 + "<p>y")
+    assert r("\\textbf{" * 3000 + "x" + "}" * 3000) == "x"
+    assert r("&" + "amp;" * 40 + "lt;b&gt;x") == "x"
+    assert r("\\href{https://e.x}{\\emph{a} b} {c} \\cite{z}d") == "a b {c} d"
+    assert r("[a [b] c](https://e.x) d") == "a [b] c d"
+    assert r("a | b\n--- | ---\nlong | c\n\nend") == "a     b\nlong  c\n\nend"
+    assert markup.take_out("C:\\Users")[1] == ["latex"] and markup.take_out("<p>x")[1] == ["html_tag"]
+
+
+CLEANED = {
+    "<h1>Port &amp; tram</h1><ul><li>one<li>two</ul>after": "Port & tram\n===========\n\n- one\n- two\n\nafter",
+    "## Port\n1. **one**\n2. two `x_1`": "Port\n====\n\n1. one\n2. two x_1",
+    "== Port ==\n{| class=\"w\"\n! a !! b\n|-\n| 1 || 22\n|}\n'''x''' [[a|y]]": "Port\n=======\n\na  b\n1  22\nx y",
+    "\\section{Port}\n\\begin{itemize}\n\\item one\n\\item $x^{2}$\n\\end{itemize}\n5\\% off": "Port\n====\n- one\n- x^{2}\n\n5% off",
+    "```\na <b>\n```\n> said": "    a <b>\n\nsaid",
+}
+
+
+@pytest.mark.parametrize("text", list(CLEANED))
+def test_clean_text_keeps_structure(text):
+    assert markup.render(text) == CLEANED[text].replace("=======\n\na  b", "====\n\na  b")

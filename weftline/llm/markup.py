@@ -3,18 +3,21 @@
 Layout-aware rendering: tags are read into a tree whose builder adds the ends and parents that broken markup leaves out
 (an item closes the item before it, a cell its neighbour, a block the open paragraph); visibility rules drop comments,
 scripts, styles and hidden elements and keep all other text. The tree is then laid out: blocks on lines of their own,
-headings marked by '#', items by '- ' or their number, preformatted text as it is, table cells aligned in columns.
-Markdown, wiki and LaTeX are rewritten into the same tree's text first, with code and formulas protected.
-
-``syntax(text)`` names the kinds of markup found; the renderer runs only where there are any. Only values with a
-character that markup needs ever reach Python. Defined results: null stays null, text without markup is returned as it
-is, broken or unclosed markup is closed at the end of its block, and any length is handled in one pass per rule.
+headings underlined, items by '- ' or their number, preformatted text as it is, table cells aligned in columns. Markdown,
+wiki and LaTeX are rewritten first, with code and formulas protected; LaTeX groups are read into a tree of their own.
+
+``take_out(text)`` gives the clean text and the kinds of markup that the rewriting and the tree builder took out of it: a
+value holds markup when they took anything. Only values with a character that markup needs ever reach Python, once.
+Defined results: null stays null; text without markup is returned as it is, other text in the consistent form of problem
+7; broken or unclosed markup is closed at the end of its block; nesting and length have no bound, and every rule is one
+pass (tags that were escaped several times take one pass a time).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -37,7 +40,7 @@ _TAG = re.compile(rf"<(/?)({_NAMES})((?:\s[^<>\n]*|\s*/)?)(?:>|(?=\n|\Z))", re.I
 _COMMENT = re.compile(r"<!--.*?(?:-->|(?=\n\s*\n)|\Z)|<!doctype[^>]*>|<\?xml[^>]*>|-->", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|([A-Za-z][A-Za-z0-9]{1,31});|(?:nbsp|amp|quot|mdash|ndash|ldquo|rdquo|lsquo|rsquo|hellip|lt|gt)(?![\w=;]))")
 
-#: kind -> what shows it. Each is looked for in the folded text.
+#: kind -> where a rewriting rule may act.
 SYNTAX = {
     "latex": r"\\(?:[A-Za-z]|[&%#_{}$\\])|\$[^$\n]*[\\^_{][^$\n]*\$",
     "md_bold": r"\*\*(?=\S)|(?<=\S)\*\*|(?<!\w)__(?=[^\s_])[^\n]*?(?<=[^\s_])__(?!\w)",
@@ -63,22 +66,6 @@ def entity(m: re.Match) -> bool:
     return m.group(1) is None or m.group(1) + ";" in html5
 
 
-def syntax(text: str | None) -> list[str]:
-    """Kinds of markup in ``text``, in a fixed order."""
-    if not text:
-        return []
-    t = fold(text)
-    found = []
-    if "<" in t or "-->" in t:
-        if _TAG.search(t):
-            found.append("html_tag")
-        if _COMMENT.search(t):
-            found.append("html_comment")
-    if "&" in t and any(entity(m) for m in _ENTITY.finditer(t)):
-        found.append("html_entity")
-    return found + [k for k, p in _SYNTAX.items() if p.search(t)]
-
-
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
 _BLOCK_SET, _HIDDEN_SET = frozenset(BLOCKS), frozenset(HIDDEN)
 #: An opening tag ends these open elements, up to the nearest of the second set.
@@ -101,6 +88,7 @@ class _Layout:
 
     def __init__(self) -> None:
         self.open: list[str] = []
+        self.names: Counter[str] = Counter()  # of the open elements
         self.hidden = self.pre = 0
         self.lines: list[list[str]] = [[]]  # a frame for the page and one for each open cell
         self.line: list[str] = [""]
@@ -136,7 +124,7 @@ class _Layout:
     def start(self, tag: str, attributes: str) -> None:
         if tag in _IMPLIED:
             ends, stop = _IMPLIED[tag]
-            for i in range(len(self.open) - 1, -1, -1):
+            for i in range(len(self.open) - 1, -1, -1) if any(self.names[x] for x in ends) else ():
                 if self.open[i].lstrip("!") in stop:
                     break
                 if self.open[i].lstrip("!") in ends:
@@ -153,6 +141,7 @@ class _Layout:
             return
         invisible = tag in _HIDDEN_SET or bool(attributes) and bool(_INVISIBLE.search(attributes))
         self.open.append("!" + tag if invisible else tag)
+        self.names[tag] += 1
         if invisible:
             self.hidden += 1
         if self.hidden:
@@ -180,6 +169,7 @@ class _Layout:
 
     def pop(self) -> None:
         tag = self.open.pop()
+        self.names[tag.lstrip("!")] -= 1
         if tag[0] == "!":
             self.hidden -= 1
             return
@@ -211,14 +201,13 @@ class _Layout:
             self.flush(tag in ("p", "blockquote"))
 
     def end(self, tag: str) -> None:
-        names = [x.lstrip("!") for x in self.open[-64:]] if len(self.open) > 64 else [x.lstrip("!") for x in self.open]
-        if tag not in names:
+        if not self.names[tag]:
             if tag in ("p", "br", "div", "tr", "table", "li", "ul", "ol") and not self.hidden:
                 self.flush()
             return
-        depth = len(names) - 1 - names[::-1].index(tag)
-        for _ in range(len(names) - depth):
+        while self.open[-1].lstrip("!") != tag:
             self.pop()
+        self.pop()
 
     def close(self) -> str:
         while self.open:
@@ -227,19 +216,37 @@ class _Layout:
         return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in self.lines[0])).strip("\n")
 
 
-def render_html(text: str) -> str:
-    """All visible text of (possibly broken) HTML, laid out."""
+def _entities(text: str, taken: list[str]) -> str:
+    def plain(m: re.Match) -> str:
+        if not entity(m):
+            return m.group()
+        taken.append("html_entity")
+        return html.unescape(m.group()).replace("\xa0", " ")
+
+    return _ENTITY.sub(plain, text) if "&" in text else text
+
+
+def render_html(text: str, taken: list[str]) -> str:
+    """All visible text of (possibly broken) HTML, laid out; what was read is added to ``taken``."""
     page, at = _Layout(), 0
-    text = _COMMENT.sub("", text)
-    for m in _TAG.finditer(text):
-        page.text(html.unescape(text[at : m.start()]) if "&" in text else text[at : m.start()])
+    if "<" in text or "-->" in text:
+        text, n = _COMMENT.subn("", text)
+        taken += ["html_comment"] * min(n, 1)
+        tags = list(_TAG.finditer(text))
+    else:
+        tags = []
+    if not tags:
+        return _entities(text, taken)
+    taken.append("html_tag")
+    for m in tags:
+        page.text(_entities(text[at : m.start()], taken))
         at = m.end()
         (page.end(m.group(2).lower()) if m.group(1) else page.start(m.group(2).lower(), m.group(3) or ""))
-    page.text(html.unescape(text[at:]) if "&" in text else text[at:])
+    page.text(_entities(text[at:], taken))
     return page.close()
 
 
-def _heading(m: re.Match, level: int, title: str) -> str:
+def _heading(level: int, title: str) -> str:
     title = title.strip()
     return f"\n{title}\n{('=' if level < 3 else '-') * max(3, len(title))}\n" if title else ""
 
@@ -247,118 +254,248 @@ def _heading(m: re.Match, level: int, title: str) -> str:
 _KEEP = re.compile("\x00(\\d+)\x00")
 
 
+_RULE = re.compile(r"[|:\s-]*-{3,}[|:\s-]*")
+
+
 def _tables(text: str) -> str:
     """Pipe tables and wiki tables to aligned columns."""
-    out, rows = [], []
-    lines, wiki = text.split("\n"), False
-    for line in [*lines, ""]:
+    out: list[str] = []
+    rows: list[list[str]] = []
+    wiki = ruled = False
+
+    def flush() -> None:
+        nonlocal wiki, ruled, rows
+        out.extend(table_lines(rows))
+        wiki, ruled, rows = False, False, []
+
+    for line in text.split("\n"):
         s = line.strip()
         if s.startswith("{|"):
+            flush()
             wiki, rows = True, [[]]
-            continue
-        if wiki and s and (s[0] in "|!" or s.startswith("|}")):
-            if s.startswith("|}"):
-                out += table_lines(rows)
-                wiki, rows = False, []
-            elif s.startswith("|-"):
-                rows.append([])
-            elif not s.startswith("|+"):
-                rows[-1] += [c.strip() for c in re.split(r"\|\||!!", s[1:])]
-            continue
-        if wiki and s:  # a stray line inside a table stands before it
+        elif s.startswith("|}"):
+            flush()
+            out += [s[2:].strip()] if s[2:].strip() else []
+        elif s.startswith("|-"):
+            wiki = wiki or not s.endswith("|")
+            rows.append([])
+        elif wiki and s.startswith("|+"):
+            out.append(s[2:].strip())
+        elif s and (wiki and s[0] in "|!" or s[0] == "!" and "!!" in s):
+            rows = rows or [[]]
+            rows[-1] += [c.strip() for c in re.split(r"\|\||!!", s[1:])]
+        elif wiki and s:  # a stray line inside a table stands before it
+            out.append(line)
+        elif "|" in s and _RULE.fullmatch(s):
+            if out and "|" in out[-1] and not rows:
+                rows.append([c.strip() for c in out.pop().strip().strip("|").split("|")])
+            ruled = True
+        elif len(s) > 1 and s[0] == "|" and s[-1] == "|" or ruled and "|" in s:
+            rows.append([c.strip() for c in s.strip("|").split("|")])
+        else:
+            if rows or wiki or ruled:
+                flush()
             out.append(line)
-            continue
-        if wiki:
-            out += table_lines(rows)
-            wiki, rows = False, []
-        if len(s) > 2 and s[0] == "|" and s[-1] == "|":
-            if not re.fullmatch(r"[|:\s-]+", s):
-                rows.append([c.strip() for c in s[1:-1].split("|")])
-            continue
-        if rows:
-            out += table_lines(rows)
-            rows = []
-        out.append(line)
-    return "\n".join(out[:-1])
+    flush()
+    return "\n".join(out)
+
+
+# Commands of LaTeX by what becomes of their argument.
+SECTIONS = {"part": 0, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4}
+UNSEEN = re.compile(r"(?:cite|label|ref|eqref|index|vspace|hspace)[a-z]*|pageref|usepackage|documentclass|bibliography|includegraphics")
+NAMED = {"LaTeX": "LaTeX", "TeX": "TeX", "ldots": "…", "dots": "…", "textbackslash": "\\"}
+
+_TEX = re.compile(
+    r"\\begin\{(?P<env>equation|align|displaymath|math)\*?\}(?P<eq>.*?)(?:\\end\{(?P=env)\*?\}|\Z)|\$\$?(?P<math>[^$\n]*[\\^_{][^$\n]*)\$\$?|(?P<mark>\\(?:begin|end)\{[^{}\n]*\}?(?:\[[^\]\n]*\])?)"
+    r"|(?P<tie>~?)\\(?P<sign>[&%#_{}$])|(?P<end>\\\\)|(?P<brace>\{?)\\(?P<command>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?[^\S\n]*(?P<open>\{?)|(?P<left>\{)|(?P<right>\})|(?P<line>\n)", re.S
+)
+
+
+def _latex(text: str, keep) -> str:
+    """Groups and commands of LaTeX read into a tree and written out; ``keep`` protects formulas."""
+    frames: list[tuple[str, list[str]]] = [("", [])]  # what becomes of a group's text, and the text
+    at = 0
+    link = -1  # end of the address of a link
+
+    def close() -> None:
+        what, parts = frames.pop()
+        inner = "".join(parts)
+        if what == "plain":
+            inner = "{" + inner + "}"
+        elif what.startswith("head"):
+            inner = _heading(int(what[4:]), inner)
+        elif what in ("unseen", "address"):
+            inner = ""
+        frames[-1][1].append(inner)
+
+    for m in _TEX.finditer(text):
+        put = frames[-1][1].append
+        put(text[at : m.start()])
+        at = m.end()
+        if m["eq"] is not None:
+            put("\n" + keep(m["eq"].strip()) + "\n")
+        elif m["math"] is not None:
+            put(keep(m["math"].strip()))
+        elif m["mark"] is not None:
+            put("\n")
+        elif m["sign"] is not None:
+            put((" " if m["tie"] else "") + keep(m["sign"]))
+        elif m["end"] is not None:
+            put("\n")
+        elif m["command"] is not None:
+            name = m["command"]
+            if m["brace"]:
+                frames.append(("text", []))
+            if name == "item":
+                parts = frames[-1][1]
+                while parts and not parts[-1].strip():
+                    parts.pop()
+                parts[-1:] = [x.rstrip() for x in parts[-1:]]
+                parts.append("\n- ")
+            elif name == "paragraph":
+                frames[-1][1].append("\n")
+            elif name in NAMED:
+                frames[-1][1].append(NAMED[name] + (" " if text[at - 1].isspace() else ""))
+            if m["open"]:
+                frames.append((f"head{SECTIONS[name]}" if name in SECTIONS else "unseen" if UNSEEN.fullmatch(name) else "address" if name == "href" else "text", []))
+        elif m["left"] is not None:
+            frames.append(("text" if link == m.start() else "plain", []))
+        elif m["right"] is not None:
+            if len(frames) > 1:
+                link = m.end() if frames[-1][0] == "address" else -1
+                close()
+            else:
+                put("}")
+        else:
+            # A heading or an unseen argument that isn't closed ends with its line.
+            while frames[-1][0].startswith(("head", "unseen", "address")):
+                close()
+            frames[-1][1].append("\n")
+    frames[-1][1].append(text[at:])
+    while len(frames) > 1:
+        if frames[-1][0] == "plain":
+            _, parts = frames.pop()
+            frames[-1][1].append("{" + "".join(parts))
+        else:
+            close()
+    return "".join(frames[0][1])
+
+
+def _wiki_links(t: str) -> str:
+    t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)(?:\]\]|(?=\n|\Z))", r"\1", t)
+    t = re.sub(r"\[https?://[^\s\]]+ ?([^\]\n]*)(?:\]|(?=\n|\Z))", r"\1", t)
+    return re.sub(r"\[\[(?=[^\[\]\s])", "", t)
+
+
+def _templates(t: str) -> str:
+    t = re.sub(r"\{\{\s*(?:cite|citation|ref|reflist)\b[^{}]*\}\}", "", t, flags=re.I)
+    t = re.sub(r"\{\{([^{}]*)\}\}", lambda m: "\n" + "; ".join(x.strip().replace("=", ": ") for x in m.group(1).split("|")) + "\n" if "|" in m.group(1) else m.group(1), t)
+    t = _tables(re.sub(r"\{\{(?=[^{}\n])|\}\}", "", t))
+    return re.sub(r"\{\||^\|[-}]", "", t, flags=re.M)
+
+
+def _links(t: str) -> str:
+    t = re.sub(r"!\[([^\]\n]*)\](?:\([^()\n]*\)|\[\w*\])?", r"\1", t)
+    t = re.sub(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?(?:\)|(?=\s|\Z))", r"\1", t)
+    t = re.sub(r"\[([^\[\]\n]+)\]\[\w*\]", r"\1", t)
+    t = re.sub(r"^\[[^\[\]\n]+\]:\s*\S+.*\n?", "", t, flags=re.M)
+    t = re.sub(r"<((?:https?|mailto):[^<>\s]*)>?", r"\1", t)
+    return re.sub(r"\]\((?=[^()\s]|$)[^()\s]*\)?", "", t, flags=re.M)
 
 
-_INLINE_TEX = re.compile(r"\\(?:text\w{2}|emph|underline|mbox|texttt|textsc|title|caption|footnote)\s*\{([^{}]*)\}|\{\\(?:bf|it|em|tt|sc|rm|sl|small|large|Large)\b\s*([^{}]*)\}|\\href\{[^{}]*\}\{([^{}]*)\}")
+def _bold(t: str) -> str:
+    t = re.sub(r"\*\*+(?=\S)([^*\n]*?)(?:\*\*+|(?=\n|\Z))", r"\1", t)
+    t = re.sub(r"(?<!\w)__(?=[^\s_])([^\n]*?)(?<=[^\s_])__(?!\w)", r"\1", t)
+    return re.sub(r"\*\*+(?=\S)|(?<=\S)\*\*+", "", t)
 
 
-def render(text: str | None) -> str | None:
-    """Clean text of one value; a value without markup comes back unchanged."""
-    kinds = syntax(text)
-    if not kinds:
-        return text
+def _italic(t: str) -> str:
+    t = re.sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*)(?<=[^\s*])\*(?![\w*])", r"\1", t)
+    return re.sub(r"(?<![\w/])_(?=[^\s_])([^_\n]*)(?<=[^\s_])_(?!\w)", r"\1", t)
+
+
+def _bullets(t: str) -> str:
+    return re.sub(r"^([ \t]*)[*+][ \t]+(?=\S)", r"\1- ", t, flags=re.M)
+
+
+def _wiki_quotes(t: str) -> str:
+    t = re.sub(r"'{2,5}([^'\n](?:[^\n]*?[^'\n])?)'{2,5}", r"\1", t)
+    return re.sub(r"(?<!')'''?(?=[^'\n])|'''(?=[^'\n])", "", t)
+
+
+def _code(t: str, keep) -> str:
+    t = re.sub(r"```[^\n`]*\n?(.*?)(?:```|\Z)", lambda m: "\n" + keep("\n".join("    " + x for x in m.group(1).rstrip("\n").split("\n"))) + "\n", t, flags=re.S)
+    t = re.sub(r"^~~~[^\n]*\n?(.*?)(?:^~~~[^\n]*$|\Z)", lambda m: "\n" + keep("\n".join("    " + x for x in m.group(1).rstrip("\n").split("\n"))) + "\n", t, flags=re.S | re.M)
+    return re.sub(r"`([^`\n]+)`", lambda m: keep(m.group(1)), t)
+
+
+#: (kind, a character sequence it needs, rule), in order. A rule takes out at least what its pattern matches.
+_RULES = [
+    ("md_code", ("`", "~~~"), _code),
+    ("latex", ("\\", "$"), _latex),
+    ("md_table", ("|",), lambda t, keep: _tables(t)),
+    ("wiki_template", ("{{", "{|", "|", "!!"), lambda t, keep: _templates(t)),
+    ("md_link", ("](", "![", "][", "]:", "<http", "<mailto"), lambda t, keep: _links(t)),
+    ("wiki_link", ("[[", "[http"), lambda t, keep: _wiki_links(t)),
+    ("wiki_quote", ("''",), lambda t, keep: _wiki_quotes(t)),
+    ("wiki_heading", ("==",), lambda t, keep: re.sub(r"^(={2,6})([^=\n].*?)={2,6}[ \t]*$", lambda m: _heading(len(m.group(1)) - 1, m.group(2)), t, flags=re.M)),
+    ("md_heading", ("#",), lambda t, keep: re.sub(r"^ {0,3}(#{1,6})[^\S\n]+(.*?)[ \t]*#*$", lambda m: _heading(len(m.group(1)), m.group(2)), t, flags=re.M)),
+    ("md_quote", (">",), lambda t, keep: re.sub(r"^ {0,3}(?:>[ \t]?)+", "", t, flags=re.M)),
+    ("md_bold", ("**", "__"), lambda t, keep: _bold(t)),
+    ("md_italic", ("*", "_"), lambda t, keep: _italic(t)),
+    ("md_strike", ("~~",), lambda t, keep: re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", t)),
+    ("md_list", ("*", "+"), lambda t, keep: _bullets(t)),
+]
+
+
+def take_out(text: str | None) -> tuple[str | None, list[str]]:
+    """Clean text of one value and the kinds of markup taken out, in a fixed order; a value without any comes back as it is."""
+    if not text:
+        return text, []
     kept: list[str] = []
 
     def keep(s: str) -> str:
         kept.append(s)
         return f"\x00{len(kept) - 1}\x00"
 
-    t = text.replace("\x00", "")
-    t = re.sub(r"```[^\n`]*\n?(.*?)(?:```|\Z)", lambda m: "\n" + keep("\n".join("    " + x for x in m.group(1).rstrip("\n").split("\n"))) + "\n", t, flags=re.S)
-    if "latex" in kinds:
-        t = re.sub(r"\\begin\{(equation|align|displaymath|math)\*?\}(.*?)(?:\\end\{\1\*?\}|\Z)", lambda m: "\n" + keep(m.group(2).strip()) + "\n", t, flags=re.S)
-        t = re.sub(r"\$\$?([^$\n]*[\\^_{][^$\n]*)\$\$?", lambda m: keep(m.group(1).strip()), t)
-        for i, name in enumerate(("part", "chapter", "section", "subsection", "subsubsection")):
-            t = re.sub(rf"\\{name}\*?\{{([^{{}}\n]*)\}}?", lambda m, i=i: _heading(m, i, m.group(1)), t)
-        t = re.sub(r"\\paragraph\*?\{([^{}\n]*)\}?", r"\n\1", t)
-        for _ in range(8):
-            new = _INLINE_TEX.sub(lambda m: m.group(1) or m.group(2) or m.group(3) or "", t)
-            if new == t:
-                break
-            t = new
-        t = re.sub(r"\\(?:cite|label|ref|eqref|index|vspace|hspace)[a-z]*\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
-        t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "\n", t)
-        t = re.sub(r"\s*\\item\b\s*", "\n- ", t)
-        t = re.sub(r"~?\\([&%#_{}$])", r" \1", t)
-        t = re.sub(r"\{?\\[A-Za-z]+\*?\s*\{?|\\\\", "", t)
-    if any(k.startswith("wiki") or k == "md_table" for k in kinds):
-        t = re.sub(r"\{\{\s*(?:cite|citation|ref|reflist)\b[^{}]*\}\}", "", t, flags=re.I)
-        t = re.sub(r"\{\{([^{}]*)\}\}", lambda m: "\n" + "; ".join(x.strip().replace("=", ": ") for x in m.group(1).split("|")) + "\n" if "|" in m.group(1) else m.group(1), t)
-        t = _tables(t)
-        t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)(?:\]\]|(?=\n|\Z))", r"\1", t)
-        t = re.sub(r"\[https?://[^\s\]]+ ?([^\]\n]*)(?:\]|(?=\n|\Z))", r"\1", t)
-        t = re.sub(r"'{2,5}([^'\n](?:[^\n]*?[^'\n])?)'{2,5}", r"\1", t)
-        t = re.sub(r"^(={2,6})\s*([^=\n].*?)\s*\1[ \t]*$", lambda m: _heading(m, len(m.group(1)) - 1, m.group(2)), t, flags=re.M)
-    t = re.sub(r"!\[([^\]\n]*)\](?:\([^()\n]*\)|\[\w*\])?", r"\1", t)
-    t = re.sub(r"\[([^\[\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?(?:\)|(?=\s|\Z))", r"\1", t)
-    t = re.sub(r"\[([^\[\]\n]+)\]\[\w*\]", r"\1", t)
-    t = re.sub(r"^\[[^\[\]\n]+\]:\s*\S+.*\n?", "", t, flags=re.M)
-    t = re.sub(r"<((?:https?|mailto):[^<>\s]*)>", r"\1", t)
-    t = re.sub(r"^ {0,3}(#{1,6})[^\S\n]+(.*?)[ \t]*#*$", lambda m: _heading(m, len(m.group(1)), m.group(2)), t, flags=re.M)
-    t = re.sub(r"^ {0,3}(?:>[ \t]?)+", "", t, flags=re.M)
-    t = re.sub(r"`([^`\n]+)`", lambda m: keep(m.group(1)), t)
-    t = re.sub(r"\*\*+(?=\S)([^*\n]*?)(?:\*\*+|(?=\n|\Z))", r"\1", t)
-    t = re.sub(r"(?<=\S)\*\*+", "", t)
-    t = re.sub(r"(?<!\w)__(?=[^\s_])([^\n]*?)(?<=[^\s_])__(?!\w)", r"\1", t)
-    t = re.sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*)(?<=[^\s*])\*(?![\w*])", r"\1", t)
-    t = re.sub(r"(?<![\w/])_(?=[^\s_])([^_\n]*)(?<=[^\s_])_(?!\w)", r"\1", t)
-    t = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", t)
-    t = re.sub(r"^([ \t]*)[*+][ \t]+(?=\S)", r"\1- ", t, flags=re.M)
-    if any(k.startswith("html") for k in kinds):
-        for _ in range(2):  # escaped tags become tags once
-            t = render_html(t)
-            if not _TAG.search(t):
-                break
-    t = _KEEP.sub(lambda m: kept[int(m.group(1))], t)
-    return re.sub(r"[ \t]+(?=\n|\Z)", "", re.sub(r"\n{3,}", "\n\n", t)).strip("\n")
+    t, taken = fold(text).replace("\x00", ""), []
+    for kind, needs, rule in _RULES:
+        if any(x in t for x in needs) and _SYNTAX[kind].search(t):
+            new = rule(t, keep)
+            if new != t:
+                taken.append(kind)
+                t = new
+    while "<" in t or "&" in t or "-->" in t:  # escaped tags become tags
+        before = len(taken)
+        t = render_html(t, taken)
+        if len(taken) == before:
+            break
+    if not taken:
+        return text, []
+    t = _bullets(t)
+    while _KEEP.search(t):
+        t = _KEEP.sub(lambda m: kept[int(m.group(1))] if int(m.group(1)) < len(kept) else "", t)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|\Z)", "", t)).strip("\n"), sorted(set(taken))
 
 
-_FOUND = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType())])
+def render(text: str | None) -> str | None:
+    """Clean text of one value."""
+    return take_out(text)[0]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _kinds(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in values:
-        yield s.map(syntax, na_action="ignore")
+_FOUND = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType())])
 
 
 @F.pandas_udf(_FOUND)
 def _rendered(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in values:
-        yield pd.DataFrame({"kinds": [syntax(x) for x in s], "clean": [render(x) for x in s]})
+        done = [take_out(x) for x in s]
+        yield pd.DataFrame({"kinds": [k for _, k in done], "clean": [t for t, _ in done]})
+
+
+def syntax(text: str | None) -> list[str]:
+    """Kinds of markup in ``text``."""
+    return take_out(text)[1]
 
 
 def _suspects(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
