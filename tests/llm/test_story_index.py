@@ -81,7 +81,8 @@ def test_a_repeat_with_more_text_leads_on(spark):
     for batch in (1, 2):
         rows = [(i, 0, "n", " ".join(story(50 + i))) for i in range(30)] + [(30, 0, "n", " ".join(h)), (40, 1, "m", " ".join(h + more)), (50, batch, "k", " ".join(more))]
         df = spark.createDataFrame(rows, "rec_id long, batch_no int, newsletter string, body string")
-        assert {tuple(r) for r in repeats(df).collect()} == {(30, 40), (30, 50)}
+        for per_check in (None, 1):
+            assert {tuple(r) for r in repeats(df, batches_per_check=per_check).collect()} == {(30, 40), (30, 50)}
 
 
 def test_defined_results(spark):

@@ -68,6 +68,7 @@ class Forest:
     block_entries: int = 1_000_000  # entries of a batch looked up at a time
     block_rows: int = 64
     max_runs: int = 6
+    waiting_share: float = 0.25  # of the accepted rows, which batches that wait must hold to be checked
 
     def depth(self) -> int:
         """Prefix length in values: the whole key, widened until the expected recall at the least similarity reaches the target."""
@@ -507,22 +508,28 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 
 def repeats(
-    df: DataFrame, key: str = "rec_id", body: str = "body", source: str = "newsletter", batch: str = "batch_no", p: Forest | None = None, batches_per_check: int | None = 1, path: str | None = None,
+    df: DataFrame, key: str = "rec_id", body: str = "body", source: str = "newsletter", batch: str = "batch_no", p: Forest | None = None, batches_per_check: int | None = None, path: str | None = None,
 ) -> DataFrame:
     """(first_<key>, <key>) of every row that repeats an earlier one, by an index that is created below ``path`` from the first batch and takes the later ones in order.
 
-    ``batches_per_check`` later batches are checked at a time (all of them when None: a backlog).
+    The later batches are a backlog here: as each check reads the key ranges it needs once, batches that wait are checked
+    together, in order, once they hold ``waiting_share`` of the accepted rows, or ``batches_per_check`` at a time.
     """
     spark = df.sparkSession
+    p = p or Forest()
     c = lambda n: F.col(f"`{n}`")
     rows = df.select(c(key).alias("id"), F.coalesce(c(batch).cast("int"), F.lit(-1)).alias("batch"), c(source).alias("source"), c(body).alias("body"))
-    numbers = [r.batch for r in rows.select("batch").distinct().orderBy("batch").collect()]
+    sizes = [(r["batch"], r["count"]) for r in rows.groupBy("batch").count().orderBy("batch").collect()]
     out = spark.createDataFrame([], "id long, first long")
-    if numbers:
-        index, own = StoryIndex.create(spark, path or scratch(spark, "story-index"), rows.where(F.col("batch") == numbers[0]), p)
-        out = out.unionByName(own)
-    later = numbers[1:]
-    step = batches_per_check or max(1, len(later))
-    for i in range(0, len(later), step):
-        out = out.unionByName(index.check(rows.where(F.col("batch").between(later[i], later[min(i + step, len(later)) - 1]))))
+    if sizes:
+        index, own = StoryIndex.create(spark, path or scratch(spark, "story-index"), rows.where(F.col("batch") == sizes[0][0]), p)
+        out, accepted = out.unionByName(own), sizes[0][1]
+    waiting: list[int] = []
+    held = 0
+    for i, (number, n) in enumerate(sizes[1:], 2):
+        waiting.append(number)
+        held += n
+        if i == len(sizes) or (held >= p.waiting_share * accepted if batches_per_check is None else len(waiting) >= batches_per_check):
+            out = out.unionByName(index.check(rows.where(F.col("batch").between(waiting[0], number))))
+            accepted, waiting, held = accepted + held, [], 0
     return out.select(F.col("first").alias(f"first_{key}"), F.col("id").alias(key))
