@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import BYTE_BPE, encode
-from weftline.runtime import materialize, ship
+from weftline.runtime import Scratch, materialize, ship
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int, shortest_first: bool = True) -> list[tuple[int, tuple[int, ...]]]:
@@ -136,4 +136,8 @@ def pack(lengths: DataFrame, specs: DataFrame, key: str = "doc_id", size: str =
 
 
 def pack_texts(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "text", path: str = BYTE_BPE) -> DataFrame:
-    return pack(encode(docs, key, text, path).select(key, F.size("ids").alias("n_tokens")), specs, key)
+    """Containers of the texts, each encoded once: lengths are written before they are sorted."""
+    tmp = Scratch(docs.sparkSession)
+    lengths = materialize(encode(docs, key, text, path, tmp=tmp).select(key, F.size("ids").alias("n_tokens")), "lengths")
+    tmp.drop()
+    return pack(lengths, specs, key)

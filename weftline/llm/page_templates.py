@@ -93,10 +93,12 @@ def furniture(
     base = pages.select(c(key).alias("_id"), F.coalesce(c(site), F.lit("")).alias("_site"), F.coalesce(c(body), F.lit("")).alias("_body"), F.coalesce(c(links), _empty()).alias("_links"), F.trim(F.coalesce(c(title), F.lit(""))).alias("_title"))
     words = F.split(F.col("_m"), r"\s+")
     base = base.withColumn("_names", _names(F.col("_site")))
+    numbered = F.filter(F.transform(F.split("_body", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"\S"))
+    # Each line learns the number of the next one before the page is taken apart, so no line carries its page.
+    linked = let(numbered, lambda ls: F.transform(ls, lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.get(ls, i + 1)["pos"].alias("next"))))
     lines = (
-        base.select("_id", "_site", "_title", "_names", F.filter(F.transform(F.split("_body", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"\S")).alias("_all"))
-        .select("_id", "_site", "_title", "_names", "_all", F.posexplode("_all").alias("_j", "_l"))
-        .select("_id", "_site", "_title", "_names", F.col("_l.pos").alias("pos"), F.col("_l.line").alias("_line"), F.get("_all", F.col("_j") + 1)["pos"].alias("next"))
+        base.select("_id", "_site", "_title", "_names", F.explode(linked).alias("_l"))
+        .select("_id", "_site", "_title", "_names", "_l.pos", F.col("_l.line").alias("_line"), "_l.next")
         .withColumn("_m", mask(F.col("_line")))
         .withColumn("_w", words)
         .select(

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.runtime import materialize, ship
+from weftline.runtime import Scratch, ship
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published splitting pattern of this vocabulary.
@@ -154,9 +154,10 @@ def _assemble(path: str, bits: int, least: int):
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = BYTE_BPE, chunk_bits: int = 9, least_chunk: int = 128) -> DataFrame:
-    """(key, ids): one row for each row of ``docs``. Chunks have about 2 ** ``chunk_bits`` + ``least_chunk`` bytes."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = BYTE_BPE, chunk_bits: int = 9, least_chunk: int = 128, tmp: Scratch | None = None) -> DataFrame:
+    """(key, ids): one row for each row of ``docs``. Chunks have about 2 ** ``chunk_bits`` + ``least_chunk`` bytes. The result reads the tables of ``tmp``, where given."""
     spark = docs.sparkSession
+    materialize = tmp or Scratch(spark)
     ship(spark)
     t = F.col(f"`{text}`")
     id_type = docs.schema[key].dataType.simpleString()
