@@ -67,6 +67,7 @@ class Forest:
     range_entries: int = 4_000_000  # entries of the first batch in one key range
     block_entries: int = 1_000_000  # entries of a batch looked up at a time
     block_rows: int = 64
+    sent_lines: int = 200_000  # repeated lines of a batch that are sent to every task; more are joined
     max_runs: int = 6
     waiting_share: float = 0.25  # of the accepted rows, which batches that wait must hold to be checked
 
@@ -187,8 +188,20 @@ class Statistics:
         return np.log((self.rows + 1) / self.frequency(w)) ** 2
 
 
-def _sign(shared):
-    """Word sets and forest keys of every row. ``house``: the row's lines that carry no story."""
+@dataclass
+class _Lines:
+    """Repeated lines in their two kinds, and sources with enough accepted rows; sorted, and few enough to be sent."""
+
+    sure: np.ndarray
+    doubtful: np.ndarray
+    known: np.ndarray
+
+    def house(self, line: np.ndarray, source: np.ndarray) -> np.ndarray:
+        return np.isin(line, self.sure) | np.isin(line, self.doubtful) & ~np.isin(source, self.known)
+
+
+def _sign(shared, lines):
+    """Word sets and forest keys of every row without the lines that carry no story: those of ``lines``, or of the row's own list ``house``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Statistics = shared.value
@@ -199,8 +212,12 @@ def _sign(shared):
             w, row = _lists(b.column("words"), np.int64)
             line, of = _lists(b.column("lines"), np.int64)
             size, _ = _lists(b.column("sizes"), np.int64)
-            gone, gone_of = _lists(b.column("house"), np.int64)
-            story = np.repeat(~np.isin(_in_row(line, of), _in_row(gone, gone_of)), size)
+            if lines is not None:
+                house = lines.value.house(line, b.column("src").to_numpy()[of])
+            else:
+                gone, gone_of = _lists(b.column("house"), np.int64)
+                house = np.isin(_in_row(line, of), _in_row(gone, gone_of))
+            story = np.repeat(~house, size)
             df = s.frequency(w)
             sets = _once(w, row)
             left = np.bincount(row[sets][story[sets] & (df[sets] <= s.rows * p.usual_share)], minlength=n)
@@ -328,7 +345,8 @@ class StoryIndex:
         return self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{self.path}/{n}" for n in names)).drop("batch")
 
     def _take(self, tokens: DataFrame, tmp: Scratch) -> DataFrame:
-        rows = tmp(self._signed(tokens, tmp), "story-rows")
+        here = tmp(self._counted(tokens.select("src", "lines", F.lit(False).alias("new"))), "story-lines")
+        rows = tmp(self._signed(tokens, here, tmp), "story-rows")
         rows = rows.where(F.size("keys") > 0)
         # Equal word sets are one row; the copies follow their first one.
         sets = rows.groupBy("digest", "total").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -337,34 +355,38 @@ class StoryIndex:
         place = F.shiftleft(F.col("tree"), self.m.bits) + F.shiftrightunsigned("key", 64 - self.m.bits).cast("int") if self.m.bits else F.col("tree")
         entries = tmp(batch.select("id", F.posexplode("keys").alias("tree", "key")).withColumn("part", place), "story-entries")
         batch = batch.drop("keys")
-        shared, heads = self._nodes(entries, tmp)
+        shared = self._nodes(entries, tmp)
         near = self._near(entries, tmp)
         stories = batch.select("id", F.lit(None).cast("long").alias("first"), "words", "total")
         if self.m.forest:
             stories = stories.unionByName(self._runs(self.m.stories, "id long, first long, words array<int>, total double"))
         # One comparison for both: the first rows of the stories in a row's nodes, and the first rows of its nodes in the batch.
-        roots = near.select("id", F.col("first").alias("other")).unionByName(heads)
-        told = bounded_broadcast(tmp(_least(self._verified(roots, batch, stories)), "story-hits"))
+        roots = near.select("id", F.col("first").alias("other")).unionByName(shared.where("id <> other").select("id", "other"))
+        told = tmp(_least(self._verified(roots, batch, stories, tmp)), "story-hits")
         # Variants only where their story's own first row, or an earlier one, isn't told.
         links = [told, *self._variants(near, told, batch, stories, tmp), *self._within(shared, told, batch, tmp)]
         firsts = _roots(links, tmp)
-        copied = copies.withColumnRenamed("first", "up").join(firsts.withColumnsRenamed({"id": "up"}), "up", "left").select("id", F.coalesce("first", "up").alias("first"))
+        copied = copies.withColumnRenamed("first", "up").join(bounded_broadcast(firsts).withColumnsRenamed({"id": "up"}), "up", "left").select("id", F.coalesce("first", "up").alias("first"))
         found = materialize(firsts.unionByName(copied), "found", self._named("found"))
-        self._accept(tokens, batch, entries, firsts, found, near.select("id", "tree", "first"), tmp)
+        self._accept(tokens, here, batch, entries, firsts, found, near.select("id", "tree", "first"))
         return found
 
-    def _signed(self, tokens: DataFrame, tmp: Scratch) -> DataFrame:
-        """The batch's rows without the lines that carry no story."""
-        here = tmp(self._counted(tokens.select("src", "lines", F.lit(False).alias("new"))), "story-lines")
+    def _signed(self, tokens: DataFrame, here: DataFrame, tmp: Scratch) -> DataFrame:
+        """The batch's rows without the lines that carry no story. ``here``: line counts of the batch."""
         if self.m.lines:
             before = self._runs(self.m.lines, "h long, n long, told long").join(bounded_broadcast(here).select("h"), "h", "left_semi")
             here = here.unionByName(before).groupBy("h").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
-        judged = here.where(F.col("n") >= self.p.line_rows).select("h", "told")
+        judged = tmp(here.where(F.col("n") >= self.p.line_rows).select("h", "told"), "story-judged")
+        if rows_of(judged) <= self.p.sent_lines:
+            x = judged.toPandas()
+            h, told = x["h"].to_numpy(np.int64), x["told"].to_numpy(np.int64)
+            lines = _Lines(h[told >= 2], h[told < 2], h[told >= self.p.line_rows])
+            return tokens.mapInArrow(_sign(self.shared, self.spark.sparkContext.broadcast(lines)), _ROWS)
         each = tokens.select("id", F.explode(F.concat(F.array(F.struct(F.col("src").alias("h"), F.lit(True).alias("own"))), F.transform("lines", lambda x: F.struct(x.alias("h"), F.lit(False).alias("own"))))).alias("x")).select("id", "x.h", "x.own")
         lines = F.collect_set(F.when(~F.col("own"), F.struct("h", (F.col("told") >= 2).alias("sure"))))
         by_row = each.join(judged, "h").groupBy("id").agg(F.max(F.col("own") & (F.col("told") >= self.p.line_rows)).alias("known"), lines.alias("lines"))
         house = by_row.select("id", F.transform(F.filter("lines", lambda x: x["sure"] | ~F.col("known")), lambda x: x["h"]).alias("house")).where(F.size("house") > 0)
-        return tokens.join(house, "id", "left").select("id", "words", "lines", "sizes", "house").mapInArrow(_sign(self.shared), _ROWS)
+        return tokens.join(house, "id", "left").mapInArrow(_sign(self.shared, None), _ROWS)
 
     @staticmethod
     def _counted(lines: DataFrame) -> DataFrame:
@@ -391,11 +413,11 @@ class StoryIndex:
         if taken:
             yield taken, entries if len(taken) == len(sizes) else entries.where(F.col("part").isin(taken))
 
-    def _verified(self, pairs: DataFrame, batch: DataFrame, others: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame, batch: DataFrame, others: DataFrame, tmp: Scratch) -> DataFrame:
         """(id, other): pairs that tell the same story. Word sets are cut to those of the pairs before they are shuffled."""
-        pairs = pairs.distinct()
+        pairs = bounded_broadcast(tmp(pairs.distinct(), "story-pairs"))
         left = batch.join(pairs, "id").select("id", "other", F.col("words").alias("a"), F.col("total").alias("at"))
-        right = others.join(pairs.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("other"), F.col("words").alias("b"), F.col("total").alias("bt"))
+        right = others.join(pairs.select(F.col("other").alias("id")), "id", "left_semi").select(F.col("id").alias("other"), F.col("words").alias("b"), F.col("total").alias("bt"))
         both = left.join(right, "other").select("id", F.col("other").alias("first"), "a", "at", "b", "bt")
         return both.mapInArrow(_alike(self.shared), "id long, first long").withColumnRenamed("first", "other")
 
@@ -419,7 +441,7 @@ class StoryIndex:
         """(id, first) found through accepted repeats with other words than their first row, of rows that first row or a smaller one doesn't tell."""
         if not self.m.forest:
             return []
-        more = near.where("other <> first").select("id", "other", "first").distinct().join(told.withColumnRenamed("first", "have"), "id", "left").where("have IS NULL OR first < have").drop("have")
+        more = near.where("other <> first").select("id", "other", "first").distinct().join(bounded_broadcast(told).withColumnRenamed("first", "have"), "id", "left").where("have IS NULL OR first < have").drop("have")
         more = tmp(more, "story-variants")
         if not rows_of(more):
             return []
@@ -427,18 +449,17 @@ class StoryIndex:
         if few:
             # Few candidates: their ids prune the files, which are sorted by id.
             stories = stories.where(F.col("id").isin(few))
-        return [tmp(self._verified(more.select("id", "other"), batch, stories).join(more, ["id", "other"]).select("id", "first"), "story-variants")]
+        return [tmp(self._verified(more.select("id", "other"), batch, stories, tmp).join(more, ["id", "other"]).select("id", "first"), "story-variants")]
 
-    def _nodes(self, entries: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-        """Rows of the batch that share a node, with its first row and size; and (id, other): each row with its nodes' first rows."""
+    def _nodes(self, entries: DataFrame, tmp: Scratch) -> DataFrame:
+        """(id, node, other, n): rows of the batch that share a node, with its first row and size."""
         keyed = entries.select("id", _node(self.p.depth()).alias("node"))
-        nodes = keyed.groupBy("node").agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n > 1")
-        shared = tmp(keyed.join(nodes, "node"), "story-shared")
-        return shared, shared.where("id <> other").select("id", "other")
+        nodes = tmp(keyed.groupBy("node").agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n > 1"), "story-nodes")
+        return tmp(keyed.join(bounded_broadcast(nodes, 500_000), "node"), "story-shared")
 
     def _within(self, shared: DataFrame, told: DataFrame, batch: DataFrame, tmp: Scratch) -> list[DataFrame]:
         """(id, first): links within the batch of rows that no first row of a node or story tells."""
-        open_ = tmp(shared.where("id <> other").join(told.select("id"), "id", "left_anti").select("node", "id", "n"), "story-open")
+        open_ = tmp(shared.where("id <> other").join(bounded_broadcast(told).select("id"), "id", "left_anti").select("node", "id", "n"), "story-open")
         if not rows_of(open_):
             return []
         # The rest against all rows of its nodes, in blocks: each meets every salt of the other side once.
@@ -449,16 +470,16 @@ class StoryIndex:
         x = open_.drop("n").join(sizes, "node").select("node", "id", salt("rows").alias("r"), upto("cols").alias("c"))
         y = shared.where("id <> other").join(sizes, "node").select("node", F.col("id").alias("other"), salt("cols").alias("c"), upto("rows").alias("r"))
         pairs = x.join(y, ["node", "r", "c"]).where("other < id").select("id", "other")
-        return [tmp(self._verified(pairs, batch, batch).select("id", F.col("other").alias("first")), "story-rest")]
+        return [tmp(self._verified(pairs, batch, batch, tmp).select("id", F.col("other").alias("first")), "story-rest")]
 
-    def _accept(self, tokens: DataFrame, batch: DataFrame, entries: DataFrame, firsts: DataFrame, found: DataFrame, leads: DataFrame | None, tmp: Scratch) -> None:
+    def _accept(self, tokens: DataFrame, here: DataFrame, batch: DataFrame, entries: DataFrame, firsts: DataFrame, found: DataFrame, leads: DataFrame) -> None:
         """Add the batch: word sets, entries as a sorted run, line counts; then the manifest."""
+        firsts = bounded_broadcast(firsts)
         rows = batch.join(firsts, "id", "left").select("id", "first", "words", "total")
         rows.sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/{(stories := self._relative('stories'))}")
         new = entries.join(firsts, "id", "left")
         plain, variants = new.where("first IS NULL"), new.where("first IS NOT NULL")
-        if leads is not None:
-            variants = variants.join(leads, ["id", "tree", "first"], "left_anti")
+        variants = variants.join(leads, ["id", "tree", "first"], "left_anti")
         # A variant only where its story, in this batch too, has no entry of that prefix.
         node = _node(self.p.depth())
         variants = variants.withColumn("node", node).groupBy("part", "node", "first").agg(F.min_by(F.struct("tree", "key", "id"), "id").alias("e"))
@@ -472,8 +493,9 @@ class StoryIndex:
             names = names[:1]
         forest = self._relative("forest")
         run.repartitionByRange("part", "key").sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{forest}")
-        told = tokens.select("id", "src", "lines").join(bounded_broadcast(found).select("id", F.lit(True).alias("told")), "id", "left").select("src", "lines", F.col("told").isNull().alias("new"))
-        counts, line_runs = self._counted(told), self.m.lines
+        # ``told`` counts rows that tell a new story: all but those found.
+        again = self._counted(tokens.join(bounded_broadcast(found).select("id"), "id", "left_semi").select("src", "lines", F.lit(False).alias("new"))).select("h", F.col("n").alias("again"))
+        counts, line_runs = here.join(again, "h", "left").select("h", "n", (F.col("n") - F.coalesce("again", F.lit(0))).alias("told")), self.m.lines
         if len(line_runs) >= max(2, self.p.max_runs):
             counts = self._runs(line_runs[1:], "h long, n long, told long").unionByName(counts).groupBy("h").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
             line_runs = line_runs[:1]
@@ -495,7 +517,7 @@ def _roots(links: list[DataFrame], tmp: Scratch) -> DataFrame:
     both = links[0]
     for x in links[1:]:
         both = both.unionByName(x)
-    now = tmp(both.groupBy("id").agg(F.min("first").alias("first")), "story-roots") if len(links) > 1 else both
+    now = tmp(both.groupBy("id").agg(F.min("first").alias("first")), "story-roots") if len(links) > 1 else links[0]
     while True:
         moving = tmp(now.join(bounded_broadcast(now).select(F.col("id").alias("first"), F.col("first").alias("up")), "first").select("id", "up"), "story-moving")
         if not rows_of(moving):
