@@ -1,6 +1,6 @@
 """Build one digest from a folder of .eml files and print it as JSON.
 
-python -m weftline --messages DIR --folder NAME --start 2026-01-01 --end 2026-01-31 [--runs DIR] [--flags DIR]
+python -m weftline --messages DIR --folder NAME --start 2026-01-01 --end 2026-01-31 [--runs DIR] [--flags DIR] [--log FILE]
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from weftline import logs
 from weftline.config import Settings
 from weftline.operators.decisions import RuleProvider
 from weftline.plans.digest import Providers, build
@@ -34,10 +35,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--end", required=True, type=dt.date.fromisoformat)
     p.add_argument("--runs")
     p.add_argument("--flags")
+    p.add_argument("--log")
     a = p.parse_args(args)
+    logs.configure(a.log)
     spark = SparkSession.builder.appName("weftline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     log = RunLog(spark, a.runs or scratch(spark, "runs"))
-    digest = build(mail.read_eml(spark, a.messages, a.folder.strip()), a.folder, a.start, a.end, offline(), log, Settings.from_env(), a.flags)
+    digest = build(mail.read_eml(spark, a.messages, a.folder.strip()), a.folder, a.start, a.end, offline(), log, Settings.from_env(), a.flags, require_folder=True)
     print(json.dumps(digest, indent=2, ensure_ascii=False))
     return 0
 

@@ -19,6 +19,9 @@ class Settings:
     noise_chars: int = 300
     pair_chars: int = 350
     filter_chars: int = 300
+    noise_tokens: int = 512
+    pair_tokens: int = 512
+    filter_tokens: int = 1024
 
     @classmethod
     def from_env(cls, prefix: str = "WEFTLINE_", env: dict[str, str] | None = None) -> Settings:

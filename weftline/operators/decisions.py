@@ -44,17 +44,22 @@ class RuleProvider:
 
 
 class BatchProvider:
-    """Calls ``answer(batch)`` once a batch in Python workers; it returns one decision dict an item, or None for a failed call. Other errors fail the job."""
+    """Calls ``answer(batch)`` once a batch in Python workers; it returns one decision dict an item, or None for a failed call. Other errors fail the job.
 
-    def __init__(self, answer: Callable[[list[dict]], list[dict] | None], fields: str) -> None:
-        self.answer, self.fields = answer, fields
+    With ``max_tokens``, the cap on an answer's length, ``answer(batch, max_tokens)`` is called. An answer that the cap cuts
+    off has fewer decisions than items, so its batch isn't valid.
+    """
+
+    def __init__(self, answer: Callable[..., list[dict] | None], fields: str, max_tokens: int | None = None) -> None:
+        self.answer, self.fields, self.max_tokens = answer, fields, max_tokens
 
     def decide(self, items: DataFrame) -> DataFrame:
+        cap = () if self.max_tokens is None else (self.max_tokens,)
         answer, names = self.answer, [f.strip().split()[0] for f in self.fields.split(",")]
 
         def call(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("pos")
-            said = answer(p.to_dict("records"))
+            said = answer(p.to_dict("records"), *cap)
             n = range(1) if said is None else range(len(said))
             return pd.DataFrame({"batch_no": p["batch_no"].iloc[0], "pos": list(n), "ok": said is not None} | {f: [None if said is None else said[i].get(f) for i in n] for f in names})
 
@@ -97,6 +102,11 @@ def relationships(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select(*pairs.columns, F.when(F.col("valid"), F.coalesce("relationship", F.lit("different"))).alias("relationship"))
 
 
+def relationship_counts(pairs: DataFrame) -> DataFrame:
+    """One row: pairs, those of the same story, those undecided."""
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("relationship") == "same_story").alias("same"), F.count_if(F.col("relationship").isNull()).alias("undecided"))
+
+
 def prompts(items: DataFrame, chars: int, title: str = "title", body: str = "body") -> DataFrame:
     """(batch_no, prompt): numbered items of each batch with a bounded excerpt; a title line only where there is one."""
     line = F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] "), F.when(F.col(title).isNotNull(), F.concat(F.lit("Title: "), F.col(title), F.lit("\n"))).otherwise(F.lit("")), F.coalesce(F.substring(body, 1, chars), F.lit("")))

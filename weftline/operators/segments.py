@@ -29,8 +29,8 @@ def section_kind(text: Column) -> Column:
     return F.when(t.is_story_heading(text), "S").when(t.is_heading_only(text), "H").otherwise(let(t.strip_links(text), kind))
 
 
-def reassemble(sections: DataFrame, message: str = "msg_pos") -> DataFrame:
-    """(message, sec_pos, text): a story heading takes the sections after it, up to the next heading or breaker.
+def reassemble(sections: DataFrame, message: str = "msg_pos", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(message, keep, sec_pos, text), ``keep`` being columns of the message: a story heading takes the sections after it, up to the next heading or breaker.
 
     Gaps and islands: the last heading or breaker so far decides whether a row belongs to a story, and the number of
     headings so far says to which. Category headings go; everything else stands alone.
@@ -40,7 +40,7 @@ def reassemble(sections: DataFrame, message: str = "msg_pos") -> DataFrame:
     marked = kinds.withColumn("state", F.last(F.when(F.col("kind").isin("S", "H", "B"), F.col("kind")), True).over(w)).withColumn("story", F.sum(F.when(F.col("kind") == "S", 1).otherwise(0)).over(w))
     rows = marked.where("kind IS NULL OR kind <> 'H'").withColumn("unit", F.when(F.col("state") == "S", F.struct(F.lit(0).alias("alone"), F.col("story").cast("int").alias("n"))).otherwise(F.struct(F.lit(1).alias("alone"), F.col("pos").alias("n"))))
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return rows.groupBy(message, "unit").agg(F.min("pos").alias("sec_pos"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text")).drop("unit")
+    return rows.groupBy(message, "unit").agg(*(F.any_value(k).alias(k) for k in keep), F.min("pos").alias("sec_pos"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text")).drop("unit")
 
 
 def links_of(text: Column) -> Column:
@@ -65,25 +65,29 @@ def list_items(text: Column) -> Column:
     return let(kept, lambda k: F.when(F.size(F.filter(k, lambda i: F.size(i["links"]) > 0)) >= 2, k))
 
 
-def sections(merged: DataFrame, message: str = "msg_pos") -> DataFrame:
-    """(message, sec_pos, item_pos, text, links): filtered sections; aggregator lists become one row an item."""
+def sections(merged: DataFrame, message: str = "msg_pos", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(message, keep, sec_pos, item_pos, text, links): filtered sections; aggregator lists become one row an item."""
     base = merged.withColumn("text", t.drop_leading_pipe(F.col("text"))).withColumn("items", F.when(F.regexp_count("text", F.lit(BULLET)) >= 2, list_items(F.col("text"))))
     whole = F.array(F.struct(t.strip_links(F.col("text")).alias("text"), links_of(F.col("text")).alias("links")))
-    rows = base.select(message, "sec_pos", F.col("text").alias("raw"), F.col("items").isNotNull().alias("listed"), F.posexplode(F.coalesce("items", whole)).alias("item_pos", "s"))
+    rows = base.select(message, *keep, "sec_pos", F.col("text").alias("raw"), F.col("items").isNotNull().alias("listed"), F.posexplode(F.coalesce("items", whole)).alias("item_pos", "s"))
     plain = ~t.is_sparse(F.col("raw"), F.size("s.links")) & (F.length("s.text") >= MIN_SECTION) & ~t.pipe_share_over(F.col("s.text"))
-    return rows.where((F.col("listed") | plain) & ~t.is_segment_boilerplate(F.col("s.text"))).select(message, "sec_pos", "item_pos", "s.text", "s.links")
+    return rows.where((F.col("listed") | plain) & ~t.is_segment_boilerplate(F.col("s.text"))).select(message, *keep, "sec_pos", "item_pos", "s.text", "s.links")
 
 
-def stories(secs: DataFrame, message: str = "msg_pos") -> DataFrame:
-    """(message, sec_pos, item_pos, title, body, links): titles taken out, bodies cleaned, artefacts dropped."""
+def stories(secs: DataFrame, message: str = "msg_pos", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(message, keep, sec_pos, item_pos, title, body, links): titles taken out, bodies cleaned, artefacts dropped."""
     parted = secs.where(t.strip(F.col("text")) != "").withColumn("p", t.title_and_body(F.translate(t.strip(F.col("text")), "\xa0", " ")))
     body = F.when(t.strip(F.col("p.body")) == "", F.translate(t.strip(F.col("text")), "\xa0", " ")).otherwise(F.col("p.body"))
-    rows = parted.select(message, "sec_pos", "item_pos", "p.title", body.alias("body"), F.transform("links", lambda x: x["url"]).alias("links"))
+    rows = parted.select(message, *keep, "sec_pos", "item_pos", "p.title", body.alias("body"), F.transform("links", lambda x: x["url"]).alias("links"))
     return rows.where(~t.pipe_share_over(F.col("body"))).withColumn("body", t.clean_body(F.col("body"))).where("body <> ''")
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Story rows of parsed messages (``weftline.sources.mail.parse_mime``), in the schema of a story."""
+    """Story rows of parsed messages (``weftline.sources.mail.parse_mime``), in the schema of a story.
+
+    Sender and date travel with the sections, so the messages are read once.
+    """
+    keep = ("newsletter", "date")
     readable = messages.where("html IS NOT NULL AND (plain IS NOT NULL OR has_text)")
-    rows = stories(sections(reassemble(split_sections(readable.select("msg_pos", "markdown")))))
-    return rows.join(messages.select("msg_pos", "newsletter", "date"), "msg_pos").select("msg_pos", "sec_pos", "item_pos", "title", "body", "links", "newsletter", "date", F.lit(1).alias("source_count"))
+    rows = stories(sections(reassemble(split_sections(readable.select("msg_pos", *keep, "markdown")), keep=keep), keep=keep), keep=keep)
+    return rows.select("msg_pos", "sec_pos", "item_pos", "title", "body", "links", "newsletter", "date", F.lit(1).alias("source_count"))

@@ -1,7 +1,7 @@
 """Queries over the driver tables, one for each operator, and the SQL each is checked against.
 
-Queries without SQL hold steps that DuckDB's patterns can't express (look-around) or that run in Python (MIME, HTML,
-embedding); they are tested against worked cases instead.
+Queries without SQL hold steps that DuckDB's patterns can't express (emphasis by look-around), that run in Python (MIME,
+HTML, embedding) or the whole run; they are tested against worked cases instead.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from weftline.sources import mail, runlog
 
 # Unicode white space for RE2, which only knows the ASCII one.
 _WS = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# What Python and Java take for a word character.
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{24b6}-\x{24e9}\x{200c}\x{200d}"
 _LINK = t.LINK.replace("'", "''")
 
 
@@ -43,6 +45,37 @@ def _bare(x: str) -> str:
     return f"coalesce(starts_with({x}, '#') AND NOT (starts_with({h}, '**') AND ends_with({h}, '**') AND length({h}) > 4), false)"
 
 
+def _heading(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '^#+', '')")
+
+
+def _wholly_bold(x: str) -> str:
+    return f"(starts_with({x}, '**') AND ends_with({x}, '**') AND length({x}) > 4)"
+
+
+def _titled(src: str) -> str:
+    """Tables that end in ``titled``: the columns of ``src`` and its text ``x`` parted into ``title`` and ``body``."""
+    after = lambda i: _strip(f"array_to_string(ls[{i} + 1:], chr(10))")
+    return f"""lined AS (SELECT *, string_split(x, chr(10)) AS ls FROM {src}),
+    placed AS (SELECT *, list_filter(list_transform(ls, lambda l, i: CASE WHEN {_strip("l")} <> '' THEN i END), lambda i: i IS NOT NULL) AS spots FROM lined),
+    two AS (SELECT *, {_strip("ls[spots[1]]")} AS s1, coalesce({_strip("ls[spots[2]]")}, '') AS s2 FROM placed),
+    titled AS (SELECT * EXCLUDE (ls, spots, s1, s2),
+        nullif(CASE WHEN starts_with(s1, '#') THEN {_heading("s1")} WHEN {_wholly_bold("s1")} THEN {_strip("substr(s1, 3, length(s1) - 4)")} WHEN {_bare("s2")} THEN {_heading("s2")} END, '') AS title,
+        CASE WHEN starts_with(s1, '#') OR {_wholly_bold("s1")} THEN {after("spots[1]")} WHEN {_bare("s2")} THEN {_strip(f"{_strip('array_to_string(ls[1:spots[2] - 1], chr(10))')} || chr(10) || chr(10) || {after('spots[2]')}")} ELSE x END AS body FROM two)"""
+
+
+def _cleaned(src: str) -> str:
+    """Tables that end in ``cleaned``: ``src`` with its text ``body`` cleaned."""
+    solid = _strip("l")
+    artefact = f"coalesce({solid} <> '' AND ({_piped(solid)} OR regexp_matches({solid}, '^\\|[{_WS}|]+[^{_WS}]')), false)"
+    last = f"coalesce(list_max(list_filter(list_transform(ls, lambda l, i: CASE WHEN {artefact} THEN NULL ELSE i END), lambda i: i IS NOT NULL)), 0)"
+    return f"""uncut AS (SELECT *, regexp_replace(body, '^\\|[{_WS}]*', '') AS cut FROM {src}),
+    starred AS (SELECT * EXCLUDE (body, cut), regexp_replace(CASE WHEN {_strip("cut")} <> '' THEN cut ELSE body END, '\\*{{4,}}', '', 'g') AS body FROM uncut),
+    ended AS (SELECT *, contains(body, '|') AS piped, string_split({_strip(f"regexp_replace(body, '([{_WS}]*\\|)+[{_WS}]*$', '')")}, chr(10)) AS ls FROM starred),
+    kept AS (SELECT * EXCLUDE (body, ls, piped), CASE WHEN piped THEN array_to_string(ls[1:{last}], chr(10)) ELSE body END AS body FROM ended),
+    cleaned AS (SELECT * EXCLUDE (body), array_to_string(list_transform(string_split({_strip("body")}, chr(10)), lambda y: regexp_replace(y, '[{_WS}]+$', '')), chr(10)) AS body FROM kept)"""
+
+
 def _q(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, name)
 
@@ -60,15 +93,14 @@ def q_latest_run(spark: SparkSession, d: str) -> DataFrame:
 
 def q_run_by_id(spark: SparkSession, d: str) -> DataFrame:
     runs = _q(spark, d, "digest_runs")
-    wanted = runs.agg(F.min("id").alias("wanted"))
-    return runs.join(F.broadcast(wanted), F.col("id") == F.col("wanted")).select("id", "folder", "status", "story_count")
+    return runlog.by_id(runs, runs.agg(F.min("id")).first()[0]).select("id", "folder", "status", "story_count")
 
 
 def q_run_states(spark: SparkSession, d: str) -> DataFrame:
     """Append-only log: a pending row and a final one for each run; the last one is its state."""
     runs = _q(spark, d, "digest_runs").select("id", "folder", "status", "story_count", F.lit(1).alias("seq"))
     log = runs.unionByName(runs.select("id", "folder", F.lit("pending").alias("status"), F.lit(0).alias("story_count"), F.lit(0).alias("seq")))
-    return log.groupBy("id").agg(F.max_by(F.struct("folder", "status", "story_count"), "seq").alias("r")).select("id", "r.*")
+    return runlog.states(log)
 
 
 def q_digest_json(spark: SparkSession, d: str) -> DataFrame:
@@ -77,13 +109,11 @@ def q_digest_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_pdf_name(spark: SparkSession, d: str) -> DataFrame:
-    return _q(spark, d, "digest_runs").select("id", F.concat(F.lit("digest-"), F.coalesce(F.col("date_start").cast("string"), "id"), F.lit(".pdf")).alias("filename"))
+    return _q(spark, d, "digest_runs").select("id", digest.file_name(F.col("date_start"), F.col("id")).alias("filename"))
 
 
 def q_stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _q(spark, d, "match_pairs").agg(
-        F.count("*").alias("pairs"), F.count_if(F.col("relationship") == "same_story").alias("same"), F.count_if(F.col("relationship").isNull()).alias("undecided"),
-    )
+    return decisions.relationship_counts(_q(spark, d, "match_pairs"))
 
 
 # Addresses
@@ -197,6 +227,12 @@ def q_body_clean(spark: SparkSession, d: str) -> DataFrame:
     return _q(spark, d, "stories").select("rec_id", t.clean_body(F.concat(F.lit("| "), F.translate("body", "\xa0", " "), F.lit(" ****  \n| |  SUBSCRIBE\n | |"))).alias("body"))
 
 
+def q_story_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Reassembled sections to titles and cleaned bodies: body fallback, artefacts and empty bodies out."""
+    merged = segments.reassemble(_raw_sections(spark, d)).withColumn("item_pos", F.lit(0)).withColumn("links", F.array().cast("array<struct<url:string,anchor_text:string>>"))
+    return segments.stories(merged).select("msg_pos", "sec_pos", "title", "body")
+
+
 def q_body_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _q(spark, d, "stories").select("rec_id", t.normalize_body(F.col("body")).alias("body"))
 
@@ -206,7 +242,7 @@ def q_title_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_parse_messages(spark: SparkSession, d: str) -> DataFrame:
-    rows = segments.parse(materialize(mail.parse_mime(_q(spark, d, "messages")), "mime"))
+    rows = segments.parse(materialize(mail.parse_mime(_q(spark, d, "messages"), spark.sparkContext.defaultParallelism), "mime"))
     return rows.withColumn("links", F.array_join("links", " "))
 
 
@@ -304,7 +340,11 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
     judged = _q(spark, d, "match_pairs").where("ci <> cj").groupBy(F.least("ci", "cj").alias("lo"), F.greatest("ci", "cj").alias("hi"))
     last = judged.agg(F.max(F.struct("decided_at", F.coalesce("relationship", F.lit("")).alias("relationship"))).alias("r"))
     joined = pairs.join(last, (F.least("rec_i", "rec_j") == F.col("lo")) & (F.greatest("rec_i", "rec_j") == F.col("hi")), "left")
-    return joined.select("cluster_pos", "i", "j", F.nullif(F.coalesce("r.relationship", F.lit("different")), F.lit("")).alias("relationship"))
+    # Each pair is a batch; one judged without a result is a call that failed, one never judged an answer without the key.
+    said = F.nullif("r.relationship", F.lit(""))
+    items = materialize(decisions.number(joined.select("cluster_pos", "i", "j", said.alias("said"), (F.col("r").isNull() | said.isNotNull()).alias("ok")), ["cluster_pos", "i", "j"], 1), "judged-pairs")
+    rule = decisions.RuleProvider({"relationship": F.col("said")}, ok=F.col("ok"))
+    return decisions.relationships(items, rule.decide(items)).select("cluster_pos", "i", "j", "relationship")
 
 
 _DECIDED = """p AS (SELECT x.cluster_pos, x.member_pos AS i, y.member_pos AS j, least(x.rec_id, y.rec_id) AS lo, greatest(x.rec_id, y.rec_id) AS hi FROM cluster_stories x JOIN cluster_stories y ON x.cluster_pos = y.cluster_pos AND x.member_pos < y.member_pos),
@@ -359,7 +399,7 @@ def q_display_links(spark: SparkSession, d: str) -> DataFrame:
 def q_digest(spark: SparkSession, d: str) -> DataFrame:
     """A whole run over all messages of all folders as one digest, with rule providers."""
     s = Settings()
-    parsed = materialize(segments.parse(materialize(mail.parse_mime(_q(spark, d, "messages")), "mime")), "stories")
+    parsed = materialize(segments.parse(materialize(mail.parse_mime(_q(spark, d, "messages"), spark.sparkContext.defaultParallelism), "mime")), "stories")
     items = decisions.number(parsed, ["msg_pos", "sec_pos", "item_pos"], s.noise_batch)
     rule = decisions.RuleProvider({"is_noise": F.length("body") < 30})
     records = decisions.drop_noise(items, rule.decide(items)).withColumn("rec_pos", F.col("batch_no") * s.noise_batch + F.col("pos")).drop("batch_no", "pos")
@@ -383,6 +423,18 @@ _SQL = {
     "q_section_kind": f"WITH {_RAW} SELECT msg_pos, pos, kind FROM kinds",
     "q_reassembly": f"""WITH {_RAW}, st AS (SELECT *, last_value(CASE WHEN kind IN ('S', 'H', 'B') THEN kind END IGNORE NULLS) OVER w AS state, sum((kind IS NOT DISTINCT FROM 'S')::INT) OVER w AS story FROM kinds WINDOW w AS (PARTITION BY msg_pos ORDER BY pos ROWS UNBOUNDED PRECEDING))
         SELECT msg_pos, min(pos) AS sec_pos, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM st WHERE kind IS DISTINCT FROM 'H' GROUP BY msg_pos, CASE WHEN state = 'S' THEN story ELSE -pos - 1 END""",
+    "q_title_body": f"""WITH src AS (SELECT rec_id, CASE rec_id % 3 WHEN 0 THEN 'LABEL' || chr(10) || chr(10) || '# ' WHEN 1 THEN '**' ELSE '' END || coalesce(title, 'none') || CASE rec_id % 3 WHEN 1 THEN '**' ELSE '' END || chr(10) || body AS x FROM stories), {_titled("src")}
+        SELECT rec_id, title, body FROM titled""",
+    "q_body_clean": f"""WITH src AS (SELECT rec_id, '| ' || replace(body, chr(160), ' ') || ' ****  ' || chr(10) || '| |  SUBSCRIBE' || chr(10) || ' | |' AS body FROM stories), {_cleaned("src")} SELECT rec_id, body FROM cleaned""",
+    "q_story_rows": f"""WITH {_RAW}, st AS (SELECT *, last_value(CASE WHEN kind IN ('S', 'H', 'B') THEN kind END IGNORE NULLS) OVER w AS state, sum((kind IS NOT DISTINCT FROM 'S')::INT) OVER w AS story FROM kinds WINDOW w AS (PARTITION BY msg_pos ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+        merged AS (SELECT msg_pos, min(pos) AS sec_pos, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM st WHERE kind IS DISTINCT FROM 'H' GROUP BY msg_pos, CASE WHEN state = 'S' THEN story ELSE -pos - 1 END),
+        src AS (SELECT msg_pos, sec_pos, replace({_strip("text")}, chr(160), ' ') AS x FROM merged WHERE {_strip("text")} <> ''), {_titled("src")},
+        filled AS (SELECT msg_pos, sec_pos, title, CASE WHEN {_strip("body")} = '' THEN x ELSE body END AS body FROM titled), real AS (SELECT * FROM filled WHERE NOT {_piped("body")}), {_cleaned("real")}
+        SELECT msg_pos, sec_pos, title, body FROM cleaned WHERE body <> ''""",
+    "q_title_normalize": f"""WITH bold AS (SELECT rec_id, regexp_replace(regexp_replace(regexp_replace('■ ' || title, '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '__([^_\\n]+)__', '\\1', 'g'), '\\*+', '', 'g') AS x FROM stories)
+        SELECT rec_id, nullif({_strip(f"regexp_replace(regexp_replace(x, '^[^{_WORD}''\"(]+([^{_WS}])', '\\1'), '[ \\t]{{2,}}', ' ', 'g')")}, '') AS title FROM bold""",
+    "q_body_lines": f"""WITH l AS (SELECT rec_id, list_filter(list_transform(string_split('* ' || body, chr(10)), lambda l: {_strip("l")}), lambda l: l <> '') AS ls FROM cluster_stories), e AS (SELECT rec_id, (generate_subscripts(ls, 1) - 1)::INT AS pos, unnest(ls) AS x FROM l)
+        SELECT rec_id, pos, regexp_matches(x, '^[*-] ') AS bullet, regexp_replace(regexp_replace(x, '^[*-] ', ''), '[^\\x00-\\x7f\\x{{a0}}-\\x{{ff}}{t.CP1252}]', '', 'g') AS text FROM e""",
     "q_list_items": f"""WITH {_LISTED}, item AS (SELECT rec_id, title || ' by ' || newsletter AS text, url, i, {_GOOD} AS good FROM (SELECT rec_id, title, newsletter, unnest(links) AS url, generate_subscripts(links, 1) AS i FROM listed)),
         kept AS (SELECT rec_id, text, {_NORMAL_URL} AS links, (row_number() OVER (PARTITION BY rec_id ORDER BY i) - 1)::INT AS item_pos, count(*) OVER (PARTITION BY rec_id) AS n FROM item WHERE length({_strip("text")}) >= 30)
         SELECT rec_id, item_pos, {_strip("text")} AS text, links FROM kept WHERE n >= 2""",

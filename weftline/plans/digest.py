@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import Settings
-from weftline.functions.text import cp1252, escape_html, normalize_body, normalize_title
+from weftline.functions.text import cp1252, escape_html, normalize_body, normalize_title, strip
 from weftline.operators import components, decisions, representative, segments, similarity
-from weftline.runtime import materialize
+from weftline.runtime import materialize, rows_of
 from weftline.sources import mail
 from weftline.sources.runlog import RunLog
 
+log_ = logging.getLogger(__name__)
+
 
 @dataclass
 class Providers:
@@ -60,7 +64,7 @@ def story_html(title: Column, body: Column, newsletter: Column, date: Column, li
 
 def body_lines(body: Column) -> Column:
     """array<struct<bullet, text>>: non-blank lines for a printed page."""
-    rows = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: x != "")
     return F.transform(rows, lambda x: F.struct(x.rlike(r"^[*-] ").alias("bullet"), cp1252(F.regexp_replace(x, r"^[*-] ", "")).alias("text")))
 
 
@@ -71,6 +75,11 @@ def page(digest: dict, blocks: list[str]) -> str:
     return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Digest</title></head><body>{head}{"".join(blocks)}</body></html>'
 
 
+def file_name(date_start: Column, run_id: Column, suffix: str = "pdf") -> Column:
+    """The name a run's file is offered under, for a table of runs."""
+    return F.concat(F.lit("digest-"), F.coalesce(date_start.cast("string"), run_id), F.lit(f".{suffix}"))
+
+
 def filename(date_start: str | None, run_id: str, suffix: str = "pdf") -> str:
     return f"digest-{run_id if date_start is None else date_start}.{suffix}"
 
@@ -96,9 +105,13 @@ def to_pdf(source: str) -> bytes:
             raise RuntimeError(f"PDF rendering failed: {first}; {second}") from second
 
 
-def cluster(records: DataFrame, settings: Settings) -> DataFrame:
-    """Records (with rec_pos) plus cluster_pos and member_pos by threshold communities of their embeddings."""
-    embedded = materialize(similarity.hashed_embedding(records, chars=settings.encode_chars).select("rec_pos", "embedding"), "embeddings")
+def cluster(records: DataFrame, settings: Settings, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Records (with rec_pos) plus cluster_pos and member_pos by threshold communities of their embeddings.
+
+    ``embed``: records -> (rec_pos, embedding), for a model of one's own; without it words are hashed.
+    """
+    embedded = embed(records) if embed else similarity.hashed_embedding(records, chars=settings.encode_chars)
+    embedded = materialize(embedded.select("rec_pos", "embedding"), "embeddings")
     found = similarity.communities(materialize(similarity.cosine_pairs(embedded, settings.similarity, "rec_pos"), "neighbours"))
     own = records.select("rec_pos").join(found, records["rec_pos"] == found["id"], "left")
     # Records without any word have no vector: each is a cluster of its own, after the others.
@@ -106,29 +119,52 @@ def cluster(records: DataFrame, settings: Settings) -> DataFrame:
 
 
 def refine(clustered: DataFrame, provider: decisions.DecisionProvider, settings: Settings) -> DataFrame:
+    """Clusters split by the provider's decisions on their pairs; how many pairs were judged alike is logged."""
     pairs = materialize(decisions.number(components.pairs_in_cluster(clustered), ["cluster_pos", "i", "j"], settings.pair_batch), "pairs")
-    decided = decisions.relationships(pairs, materialize(provider.decide(pairs), "pair-decisions"))
+    decided = materialize(decisions.relationships(pairs, materialize(provider.decide(pairs), "pair-decisions")), "relationships")
+    n = decisions.relationship_counts(decided).first()
+    log_.info("pairs judged: %d, same story: %d, undecided: %d", n["pairs"], n["same"], n["undecided"])
     parts = components.refine(clustered, decided)
     return clustered.join(parts, ["cluster_pos", "member_pos"]).drop("cluster_pos", "member_pos").withColumnsRenamed({"new_cluster": "cluster_pos", "new_member": "member_pos"})
 
 
-def build(messages: DataFrame, folder: str, start: dt.date, end: dt.date, providers: Providers, log: RunLog, settings: Settings | None = None, flags_path: str | None = None) -> dict:
-    """Run every stage, record the run and return the digest. An error marks the run as failed and is raised again."""
-    settings = settings or Settings()
+def build(messages: DataFrame, folder: str, start: dt.date, end: dt.date, providers: Providers, log: RunLog, settings: Settings | None = None, flags_path: str | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, require_folder: bool = False, counts: dict[str, int] | None = None) -> dict:
+    """Run every stage, record the run and return the digest. An error marks the run as failed and is raised again.
+
+    ``embed``: see :func:`cluster`. ``require_folder``: a folder that isn't there is an error of the run that names those
+    there are; else it is an empty one. ``counts`` receives the rows after each stage, which are logged too; they come
+    with the writes of the stages and cost no job.
+    """
+    settings, counts = settings or Settings(), {} if counts is None else counts
+
+    def counted(stage: str, df: DataFrame) -> DataFrame:
+        counts[stage] = rows_of(df)
+        log_.info("%s: %d", stage, counts[stage])
+        return df
+
     chosen = mail.select(messages, folder, start, end, settings.max_messages)
     run = log.begin(folder, start, end)
     try:
-        parsed = materialize(segments.parse(materialize(mail.parse_mime(chosen), "mime")), "stories")
+        if require_folder:
+            mail.check_folder(messages, folder.strip())
+        read = counted("messages", materialize(mail.parse_mime(chosen, messages.sparkSession.sparkContext.defaultParallelism), "mime"))
+        parsed = counted("parsed", materialize(segments.parse(read), "stories"))
         items = materialize(decisions.number(parsed, ["msg_pos", "sec_pos", "item_pos"], settings.noise_batch), "noise-items")
         records = decisions.drop_noise(items, materialize(providers.noise.decide(items), "noise-decisions")).withColumn("rec_pos", F.col("batch_no") * settings.noise_batch + F.col("pos")).drop("batch_no", "pos")
-        refined = refine(materialize(cluster(materialize(records, "records"), settings), "clusters"), providers.pairs, settings)
+        records = counted("after noise", materialize(records, "records"))
+        clustered = materialize(cluster(records, settings, embed), "clusters")
+        counts["clusters"] = clustered.select("cluster_pos").distinct().count()
+        refined = refine(clustered, providers.pairs, settings)
         chosen_rows = materialize(decisions.number(representative.deduplicate(refined), ["cluster_pos"], settings.filter_batch), "representatives")
         decided = materialize(decisions.editorial(chosen_rows, materialize(providers.filter.decide(chosen_rows), "filter-decisions")), "decided")
+        counted("representatives", chosen_rows)
         if flags_path:
             write_flags(decided, flags_path)
         # A digest is one document of at most a few hundred stories.
         rows = [r.asDict() for r in shape(decided.where("keep")).collect()]
         digest = {"id": run["id"], "generated_at": run["run_at"].strftime("%Y-%m-%dT%H:%M:%SZ"), "folder": folder, "date_start": start.isoformat(), "date_end": end.isoformat(), "story_count": len(rows), "stories": rows}
+        counts |= {"kept": len(rows), "dropped": counts["representatives"] - len(rows), "borderline": decided.where("confidence = 'borderline'").count()}
+        log_.info("kept %(kept)d, dropped %(dropped)d, borderline %(borderline)d", counts)
         log.complete(run, len(rows), json.dumps(digest))
         return digest
     except Exception as error:

@@ -12,10 +12,11 @@ from email import policy
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import schemas
+from weftline.operators.numbering import number_rows
 
 # Elements and styles that hide their content in messages.
 NOISE = {"img", "style", "script", "head"}
@@ -29,12 +30,18 @@ class FolderNotFoundError(ValueError):
         self.folder, self.available = folder, available
 
 
+def header_date(raw: Column) -> Column:
+    """The day of a message's Date header, in the sender's own offset; null without a readable one."""
+    head = F.get(F.split(F.decode(raw, "ISO-8859-1"), r"\r?\n\r?\n", 2), F.lit(0))
+    day = F.regexp_extract(head, r"(?im)^Date:\s*(?:[a-z]{3},\s*)?(\d{1,2}\s+[a-z]{3}\s+\d{4})", 1)
+    return F.try_to_date(F.initcap(F.regexp_replace(day, r"\s+", " ")), "d MMM yyyy")
+
+
 def read_eml(spark: SparkSession, path: str, folder: str = "") -> DataFrame:
-    """Messages of an .eml folder, numbered by path."""
+    """Messages of an .eml folder, numbered by path. Their day is that of the Date header, else of the file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
-    # File names only: the listing is small beside the contents, which are not sorted.
-    order = files.select("path").withColumn("msg_pos", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
-    return files.join(order, "path").select("msg_pos", F.lit(folder).alias("folder"), F.to_date("modificationTime").alias("internal_date"), F.col("content").alias("raw"))
+    order = number_rows(files.select("path"), ["path"], "msg_pos")
+    return files.join(order, "path").select("msg_pos", F.lit(folder).alias("folder"), F.coalesce(header_date(F.col("content")), F.to_date("modificationTime")).alias("internal_date"), F.col("content").alias("raw"))
 
 
 def select(messages: DataFrame, folder: str, start: dt.date, end: dt.date, cap: int | None = 50) -> DataFrame:
@@ -53,10 +60,11 @@ def check_folder(messages: DataFrame, folder: str) -> None:
         raise FolderNotFoundError(folder, sorted(r.folder for r in messages.select("folder").distinct().collect()))
 
 
-def imap_source():
+def imap_source(connect=None):
     """A Python data source for a live mailbox: one partition a chunk of message numbers, read only, dates pushed to the server.
 
-    Options: host, user, password, folder, start, end, cap, chunk.
+    A task logs in once and fetches its chunk with one command. Options: host, user, password, folder, start, end, cap,
+    chunk. ``connect``: host -> connection, ``imaplib.IMAP4_SSL`` by default.
     """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -71,7 +79,7 @@ def imap_source():
         def _box(self):
             import imaplib
 
-            box = imaplib.IMAP4_SSL(self.o["host"])
+            box = (connect or imaplib.IMAP4_SSL)(self.o["host"])
             box.login(self.o["user"], self.o["password"])
             status, _ = box.select(f'"{self.o["folder"]}"', readonly=True)
             if status != "OK":
@@ -89,11 +97,13 @@ def imap_source():
 
         def read(self, part: Chunk) -> Iterator[tuple]:
             box = self._box()
-            for i, uid in enumerate(part.uids):
-                _, data = box.uid("FETCH", uid, "(BODY.PEEK[] INTERNALDATE)")
-                stamp = imap_date(data[0][0])
-                yield part.first + i, self.o["folder"], stamp, data[0][1]
+            _, data = box.uid("FETCH", b",".join(part.uids), "(UID BODY.PEEK[] INTERNALDATE)")
             box.logout()
+            # Servers answer in an order of their own; rows come in the order of the search.
+            found = {imap_uid(head): (imap_date(head), raw) for head, raw in (x for x in data if isinstance(x, tuple))}
+            for i, uid in enumerate(part.uids):
+                if uid in found:
+                    yield part.first + i, self.o["folder"], *found[uid]
 
     class Imap(DataSource):
         @classmethod
@@ -109,6 +119,11 @@ def imap_source():
     return Imap
 
 
+def imap_uid(answer: bytes) -> bytes | None:
+    m = re.search(rb"UID (\d+)", answer)
+    return m and m.group(1)
+
+
 def imap_date(answer: bytes) -> dt.date | None:
     m = re.search(rb'INTERNALDATE " ?(\d+-\w{3}-\d{4})', answer)
     return dt.datetime.strptime(m.group(1).decode(), "%d-%b-%Y").date() if m else None
@@ -242,8 +257,11 @@ def read_mime(raw: bytes) -> dict:
     return {"newsletter": name.strip() or address, "date": date, **parts}
 
 
-def parse_mime(messages: DataFrame) -> DataFrame:
-    """Messages parsed once, narrowed to ``schemas.MIME``; unreadable HTML gives empty markdown, so no stories."""
+def parse_mime(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Messages parsed once, narrowed to ``schemas.MIME``; unreadable HTML gives empty markdown, so no stories.
+
+    ``partitions``: spread a small input over so many tasks first, as parsing costs far more than reading.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -259,8 +277,4 @@ def parse_mime(messages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["msg_pos", "newsletter", "date", "plain", "html", "has_text", "markdown"])
 
     rows = messages.select("msg_pos", "raw")
-    wide = messages.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < wide:
-        # Parsing costs far more than reading, so a small input is spread over all cores first.
-        rows = rows.repartition(wide, "msg_pos")
-    return rows.mapInPandas(run, schemas.MIME)
+    return (rows.repartition(partitions, "msg_pos") if partitions else rows).mapInPandas(run, schemas.MIME)

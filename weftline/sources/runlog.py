@@ -36,8 +36,12 @@ class RunLog:
         self._append(1, **run | {"status": "failed", "error_message": str(error)})
 
     def runs(self) -> DataFrame:
-        rows = self.spark.read.schema(schemas.RUN + ", seq int").parquet(self.path)
-        return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "seq")]), "seq").alias("r")).select("id", "r.*")
+        return states(self.spark.read.schema(schemas.RUN + ", seq int").parquet(self.path))
+
+
+def states(log: DataFrame) -> DataFrame:
+    """The current state of every run of a log: its last row."""
+    return log.groupBy("id").agg(F.max_by(F.struct(*[c for c in log.columns if c not in ("id", "seq")]), "seq").alias("r")).select("id", "r.*")
 
 
 def latest(runs: DataFrame) -> DataFrame:
