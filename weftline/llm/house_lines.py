@@ -1,8 +1,9 @@
 """Problem 6: lines that one source prints again and again.
 
-1. Masking: numbers and dates go, names (capitalised words) go; a line's LSH codes are the least hash of the words that
-   are left and the least hash of the five-letter runs of its letters, look-alikes undone and without case. The second
-   one depends on the letters alone, so lines with equal letters share it however they are spaced, numbered or marked.
+1. Masking: numbers and dates go, names (capitalised words) go; a line has two LSH codes, each of ``_SEEDS`` MinHash
+   values: one over the words that are left, one over the five-letter runs of its letters, look-alikes undone and without
+   case. The second one depends on the letters alone, so lines with equal letters share it however they are spaced,
+   numbered or marked.
 2. Clusters: lines of one source with a code in common. A cluster's document frequency counts rows, each once, summed
    in every task before the shuffle, so a line printed in a third of all rows is one number a task.
 3. Lines of clusters with a high document frequency are candidates; all others, nearly all lines, are never counted or
@@ -32,7 +33,8 @@ from weftline.llm.hashing import mix, powers, spans, words
 from weftline.runtime import bounded_broadcast, materialize, ship
 
 _SUSPECT = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m.group(1), 16)), SUSPECT))
-_SEED = np.uint64(0x5851F42D4C957F2D)
+_SEEDS = np.random.default_rng(13).integers(1, 1 << 63, 3, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _RUN = 5
 
 
@@ -43,8 +45,17 @@ def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return is_letter, *np.random.default_rng(12).integers(1, 1 << 63, (2, 0x110000), dtype=np.uint64)
 
 
+def _signature(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One code for the MinHash values of every run of ``values``."""
+    code = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for seed in _SEEDS:
+            code = mix(code + np.minimum.reduceat((values ^ seed) * _ODD, starts))
+    return code
+
+
 def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line: number of letters, two hashes of its letters, least hash of its letter runs, least hash of its unmasked words (0 without any)."""
+    """Of every line: number of letters, two hashes of its letters, LSH code of its letter runs, LSH code of its unmasked words (0 without any)."""
     joined = "\n".join(lines)
     if not joined.isascii():
         odd = np.unique(np.searchsorted(np.cumsum([len(x) + 1 for x in lines]), [m.start() for m in _SUSPECT.finditer(joined)], side="right"))
@@ -75,17 +86,18 @@ def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             for i in range(1, _RUN):
                 run *= power[1]
                 run += values[0][i : len(run) + i]
+            run = mix(run)
             inside = np.flatnonzero(line[: len(run)] == line[_RUN - 1 :])
             if len(inside):
                 of = line[inside]
                 first = np.flatnonzero(np.diff(of, prepend=-1))
-                least[of[first]] = np.minimum.reduceat(mix(run[inside]), first)
+                least[of[first]] = _signature(run[inside], first)
         h, of, first, _ = words([x.encode("utf-8", "surrogatepass") for x in lines])
         kept = np.flatnonzero(((first >= 97) & (first <= 122)) | (first > 127))
         masked = np.zeros(n, np.uint64)
         if len(kept):
             begin = np.flatnonzero(np.diff(of[kept], prepend=-1))
-            masked[of[kept][begin]] = np.minimum.reduceat(mix(h[kept] ^ _SEED), begin)
+            masked[of[kept][begin]] = _signature(h[kept], begin)
     return count, out[0], out[1], least, masked
 
 
