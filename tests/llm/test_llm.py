@@ -474,3 +474,22 @@ CLEANED = {
 @pytest.mark.parametrize("text", list(CLEANED))
 def test_clean_text_keeps_structure(text):
     assert markup.render(text) == CLEANED[text].replace("=======\n\na  b", "====\n\na  b")
+
+
+def test_messages_are_found_by_likeness_to_a_sample(spark):
+    """Rules may read few documents; the rest comes through SimHash tables and components, also with many more labelled sentences than a block."""
+    rng, rows, want = random.Random(8), [], set()
+    name = lambda: "".join(rng.choice(["bel", "tor", "vin", "mar", "quo", "zan", "lis", "pel", "dor", "gra"]) for _ in range(3))
+    frames = ["Please enable JavaScript to read this story on {0}.", "One more step: prove you are human to open {0}.", "Your session has expired. Please sign in again to continue to {0}.", "You do not have permission to view the page {0} on this server.", "Error 503: the service at {0} is unavailable for the moment."]
+    for i in range(600):
+        if i % 3 == 0:
+            rows.append((i, rng.choice(frames).format(name())))
+            want.add(i)
+        else:
+            rows.append((i, " ".join(story(i, 2)) if i % 2 else f"The guide of {name()} says that a notice such as “{frames[0].format(name())}” is no story, and it explains at length why readers see it."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (20_000, 40):
+        got = {r.doc_id for r in residue.residue(df, p=residue.Likeness(sample_docs=200, block=block)).collect()}
+        assert got <= want and len(got) >= 0.95 * len(want)
+    none = {r.doc_id for r in residue.residue(df, p=residue.Likeness(sample_docs=0)).collect()}
+    assert not none
