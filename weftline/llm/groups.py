@@ -38,15 +38,16 @@ def _least(reached: DataFrame) -> DataFrame:
 def _grow(edges: DataFrame, level: int, rate: float, rounds: int, hubs: int, hub_edges: int, tmp: Scratch) -> DataFrame:
     """(v, c): the centre of every vertex that has an edge."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = both.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree")).select("v", "degree", F.col("v").alias("c"), _start(level, F.col("v"), rate).alias("t"))
-    state = tmp(state, "ldd-vertices")
-    most = max(hub_edges, 2 * rows_of(edges) // hubs)
-    hub = state.where(F.col("degree") > most).select(F.col("v").alias("a"))
-    has_hubs = not hub.isEmpty()
-    state = state.select("v", "c", "t")
-    plain = both.join(F.broadcast(hub), "a", "left_anti") if has_hubs else both
-    hot = both.join(F.broadcast(hub), "a", "left_semi") if has_hubs else None
-    for _ in range(rounds):
+    # The first step needs no join: a vertex that has not been reached yet starts from itself.
+    first = both.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("c"), F.lit(0.0).alias("d")), F.struct(F.col("b").alias("v"), F.col("a").alias("c"), F.lit(1.0).alias("d")))).alias("x")).select("x.v", "x.c", "x.d")
+    state = _least(first.select("v", "c", (_start(level, F.col("c"), rate) + F.col("d")).alias("t")))
+    plain, hot, hub = both, None, None
+    if rounds > 1 and rows_of(edges) > hub_edges:
+        most = max(hub_edges, 2 * rows_of(edges) // hubs)
+        hub = tmp(both.groupBy("a").count().where(F.col("count") > most).select("a"), "ldd-hubs")
+        if rows_of(hub):
+            plain, hot = both.join(F.broadcast(hub), "a", "left_anti"), both.join(F.broadcast(hub), "a", "left_semi")
+    for _ in range(rounds - 1):
         sent = plain.join(state, plain["a"] == state["v"]).select(F.col("b").alias("v"), "c", (F.col("t") + 1).alias("t"))
         if hot is not None:
             now = state.join(F.broadcast(hub), state["v"] == hub["a"], "left_semi")
@@ -57,10 +58,12 @@ def _grow(edges: DataFrame, level: int, rate: float, rounds: int, hubs: int, hub
     return state.select("v", "c")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rate: float = 0.1, rounds: int = 4, hubs: int = 10_000, hub_edges: int = 10_000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rate: float = 0.4, rounds: int = 2, hubs: int = 10_000, hub_edges: int = 10_000) -> DataFrame:
     """(vertex, group): the smallest vertex reachable from every vertex with an edge.
 
-    ``rate``: of the exponential shifts; smaller means larger clusters. ``rounds``: steps of growth per level.
+    ``rate``: of the exponential shifts of the first level; smaller means larger clusters. ``rounds``: steps of growth of
+    the first level. As the graph shrinks by a factor a level, each level takes one step more, up to twice ``rounds``, and
+    grows its clusters larger.
     """
     spark = edges.sparkSession
     pair = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -68,7 +71,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rate: float = 0.1,
     levels: list[DataFrame] = []  # (v, c) of the vertices that had edges at each level
     while rows_of(left):
         tmp = Scratch(spark)
-        grown = materialize(_grow(left, len(levels), rate, rounds, hubs, hub_edges, tmp), f"ldd-grown-{len(levels)}")
+        grown = materialize(_grow(left, len(levels), rate / 2 ** min(len(levels), 2), min(rounds + len(levels), 2 * rounds), hubs, hub_edges, tmp), f"ldd-grown-{len(levels)}")
         levels.append(grown)
         contracted = left.join(grown.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(grown.select(F.col("v").alias("b"), F.col("c").alias("y")), "b").where("x <> y")
         former = left
@@ -81,7 +84,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rate: float = 0.1,
     while levels:
         below = levels.pop()
         up = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        labels = materialize(below.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")), "ldd-labels")
+        labels = below.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
+    labels = materialize(labels, "ldd-labels")
     smallest = labels.groupBy("c").agg(F.min("v").alias("group"))
     return labels.join(smallest, "c").select(F.col("v").alias("vertex"), "group")
 

@@ -42,12 +42,16 @@ def variants(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     ship(spark)
     values = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields))
     each = df.select(F.col(f"`{key}`").alias(key), F.explode(values).alias("v")).select(key, "v.field", "v.text").where("text IS NOT NULL")
-    mapped = materialize(each.where(suspect(F.col("text"))).withColumn("mapped", fold_text("text")), "lookalike")
-    changed = mapped.where("mapped <> text")
-    forms = bounded_broadcast(materialize(changed.select(F.xxhash64("mapped").alias("h")).distinct(), "lookalike-forms"))
-    plain = each.where(~suspect(F.col("text"))).select("text").unionByName(mapped.where("mapped = text").select("text")).withColumn("h", F.xxhash64("text"))
-    plain = plain.join(forms, "h", "left_semi").select(F.col("text").alias("form"), F.lit(0).alias("rank"))
-    forms = changed.select(F.col("mapped").alias("form"), F.lit(1).alias("rank")).unionByName(plain)
+    # One scan: values that can change with their text, all others by a hash alone.
+    odd = F.when(suspect(F.col("text")), F.col("text"))
+    kept = each.select(key, "field", odd.alias("text"), F.when(odd.isNull(), F.xxhash64("text")).alias("h"))
+    mapped = materialize(kept.withColumn("mapped", fold_text("text")), "lookalike")
+    changed = mapped.where("mapped <> text").select(key, "field", "text", "mapped")
+    forms = materialize(changed.select("mapped", F.xxhash64("mapped").alias("h")).distinct(), "lookalike-forms")
+    # A plain value of a form's hash is that form as it stands in the table.
+    plain = mapped.where("h IS NOT NULL OR mapped = text").select(F.coalesce("h", F.xxhash64("text")).alias("h"))
+    plain = plain.join(bounded_broadcast(forms).select("h"), "h", "left_semi").distinct().withColumn("rank", F.lit(0))
+    forms = forms.join(plain, "h", "left").select(F.col("mapped").alias("form"), F.coalesce("rank", F.lit(1)).alias("rank"))
     classes = spark.sql(
         "SELECT collate(form, 'UNICODE') AS class, min(struct(rank, form)).form AS canonical FROM {forms} GROUP BY collate(form, 'UNICODE')",
         forms=forms,

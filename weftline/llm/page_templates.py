@@ -64,10 +64,11 @@ def _self_reference(line: Column, names: Column) -> Column:
     return F.when(within(F.lower(line)), within(F.lower(F.regexp_replace(line, r"\]\([^)]*\)|https?://\S+", "]")))).otherwise(False)
 
 
-def _languages(masked: Column) -> Column:
-    """struct with the number of different function words of each language."""
-    known = F.filter(F.split(F.lower(masked), r"\s+"), lambda w: w.isin([w for ws in FUNCTION_WORDS.values() for w in ws]))
-    return let(known, lambda k: F.struct(*(F.size(F.array_intersect(k, F.array(*map(F.lit, ws)))).alias(g) for g, ws in FUNCTION_WORDS.items())))
+def _languages(body: Column) -> Column:
+    """struct with the number of function words of each language."""
+    among = lambda ws: lambda w: w.isin(ws)
+    known = F.filter(F.split(F.lower(body), r"\s+"), lambda w: w.isin([w for ws in FUNCTION_WORDS.values() for w in ws]))
+    return let(known, lambda k: F.struct(*(F.size(F.filter(k, among(ws))).alias(g) for g, ws in FUNCTION_WORDS.items())))
 
 
 def host(url: Column) -> Column:
@@ -106,9 +107,7 @@ def furniture(
             F.filter(F.array(_token("L", F.col("_m")), _token("S", _opening(F.col("_m"))), _token("W", F.when(F.size("_w") > 2, F.concat_ws(" ", F.slice("_w", 1, 2))))), lambda t: t.isNotNull()).alias("toks"),
             _self_reference(F.col("_line"), F.col("_names")).alias("own"),
             (F.trim("_line") == F.col("_title")).alias("head"),
-            _languages(F.col("_m")).alias("fw"),
         )
-        .select("*", "fw.*").drop("fw")
     )
     lines = materialize(lines, "page-lines")
     hosts = base.select("_id", "_site", F.explode(F.array_distinct(F.transform("_links", host))).alias("_h")).where("_h <> '' AND _h <> lower(_site)")
@@ -116,12 +115,14 @@ def furniture(
     vectors = tokens.groupBy("_site", "k", "t").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_id")).alias("vec"))
     vectors = materialize(vectors.where(F.col("n") >= min_pages), "page-vectors")
     langs = list(FUNCTION_WORDS)
-    sites = lines.groupBy("_site").agg(F.countDistinct("_id").alias("total"), *(F.sum(g).alias(g) for g in langs))
+    # Pages with a line; each is told by the language of its words once.
+    sites = base.where(F.col("_body").rlike(r"\S")).select("_site", _languages(F.col("_body")).alias("fw")).groupBy("_site").agg(F.count("*").alias("total"), *(F.sum(f"fw.{g}").alias(g) for g in langs))
     sites = bounded_broadcast(materialize(sites.select("_site", "total", F.array_max(F.array(*(F.struct(F.col(g).alias("n"), F.lit(g).alias("g")) for g in langs)))["g"].alias("lang")), "page-sites"))
     rated = vectors.join(sites, "_site").withColumn("rate", F.col("n") / F.col("total"))
     spread = rated.groupBy("lang", "k", "t").agg(F.count("*").alias("seen"))
     judged = rated.join(spread, ["lang", "k", "t"]).join(F.broadcast(sites.groupBy("lang").agg(F.count("*").alias("hosts"))), "lang")
-    few = F.col("seen") < F.col("hosts") * host_share
+    # A host without others of its language has nothing to be compared with.
+    few = (F.col("hosts") == 1) | (F.col("seen") < F.col("hosts") * host_share)
     limit = lambda i: F.create_map(*(x for k, v in rates.items() for x in (F.lit(k), F.lit(v[i]))))[F.col("k")]
     valid = judged.where((few & (F.col("rate") >= limit(0))) | (F.col("rate") >= limit(1))).select("_site", "n", "vec").distinct()
     template = materialize(vectors.join(valid, ["_site", "n", "vec"], "left_semi").select("_site", "k", "t"), "page-template")
