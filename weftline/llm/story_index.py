@@ -234,7 +234,7 @@ def _sign(shared, lines):
             with np.errstate(over="ignore"):
                 pair = mix(a[:-1] * _ROW + a[1:]) if len(a) > 1 else np.zeros(0, np.uint64)
                 same = ra[:-1] == ra[1:] if len(a) > 1 else np.zeros(0, bool)
-                feature, fr = pair[same], ra[:-1][same] if len(a) > 1 else ra
+                feature, fr = pair[same], ra[:-1][same] if len(a) > 1 else ra[:0]
                 # Rows without a pair: their words one by one.
                 alone = np.setdiff1d(row[order], fr)
                 if len(alone):
