@@ -1,7 +1,7 @@
 """Problem 2: the article of a page without the furniture around it, by equivalence-class template deduction.
 
-Every non-blank line gives tokens in three roles: the whole line with numbers and link targets masked (L), its opening
-up to a separator (S) and its first two words (W); every link outside the text gives its host (U). A token's occurrence
+Every non-blank line gives tokens in four roles: the whole line with numbers and link targets masked (L), its opening up
+to a separator (S), its first two words (W) and the name of its own site (N); every link outside the text gives its host (U). A token's occurrence
 vector over the pages of its host is kept as two numbers, page count and an order-free hash of the page ids, so a host
 with a third of all pages is pre-aggregated in every task and no vector is ever gathered.
 
@@ -11,9 +11,10 @@ with a third of all pages is pre-aggregated in every task and no vector is ever
    page furniture is one host's choice.
 3. Nesting is kept to single lines, positions and order of classes are not compared: a line's opening belongs to the template of the line when their vectors are equal, and an
    opening that is valid on its own leaves the rest of the line as a slot (a teaser's title, a breadcrumb's last step).
-4. Lines with a token of a valid class, or naming their own site, are furniture. A line whose ending (last two words)
-   nearly always stands right before furniture or the page's end is a closing note (about the author and the like) and
-   goes too. What is left is the article.
+4. Lines with a token of a valid class are furniture. Lines are then ordered around it: an ending (last two words) whose
+   lines nearly always stand right before furniture or the page's end is nested in the template, as its closing note
+   (about the author and the like), when the lower bound of that share, given how often it was seen, reaches
+   ``note_share``. What is left is the article.
 
 Defined results: null or empty bodies give no lines; a page's own headline is never furniture; hosts with fewer than
 ``min_pages`` matching pages have no template; null sites form one host; an empty table gives an empty result.
@@ -75,20 +76,26 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:www\.)?([^/?#]+)", 1))
 
 
+def _lower_bound(m: Column, n: Column, z: float = 1.96) -> Column:
+    """Lower end of the 95 % interval (Wilson) of a share seen ``m`` times in ``n``, so few sightings count for little at any size of the table."""
+    share = m / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def _token(kind: str, text: Column) -> Column:
     return F.when(text.isNotNull(), F.struct(F.lit(kind).alias("k"), F.xxhash64(text).alias("t")))
 
 
 def furniture(
     pages: DataFrame, key: str = "page_id", site: str = "site", body: str = "body", links: str = "links", title: str = "title",
-    min_pages: int = 3, host_share: float = 0.8, rates: dict[str, tuple[float, float]] | None = None, note_lines: int = 20, note_share: float = 0.85,
+    min_pages: int = 3, host_share: float = 0.8, rates: dict[str, tuple[float, float]] | None = None, note_share: float = 0.8,
 ) -> DataFrame:
     """(key, field, pos): the lines of ``body`` and the positions in ``links`` that are not the article.
 
     ``rates``: by role, the share of a host's pages from which a token is template when it is missing from most
     comparable hosts, and from which it is template anyway.
     """
-    rates = rates or {"L": (0.02, 0.067), "S": (0.05, 0.2), "W": (0.15, 2.0), "U": (0.02, 0.02)}
+    rates = rates or {"L": (0.02, 0.067), "S": (0.05, 0.2), "W": (0.15, 2.0), "N": (0.02, 0.02), "U": (0.02, 0.02)}
     spark = pages.sparkSession
     c = lambda n: F.col(f"`{n}`")
     base = pages.select(c(key).alias("_id"), F.coalesce(c(site), F.lit("")).alias("_site"), F.coalesce(c(body), F.lit("")).alias("_body"), F.coalesce(c(links), _empty()).alias("_links"), F.trim(F.coalesce(c(title), F.lit(""))).alias("_title"))
@@ -104,8 +111,7 @@ def furniture(
         .withColumn("_w", words)
         .select(
             "_id", "_site", "pos", "next", F.xxhash64(F.concat_ws(" ", F.slice("_w", F.greatest(F.size("_w") - 1, F.lit(1)), 2))).alias("ending"),
-            F.filter(F.array(_token("L", F.col("_m")), _token("S", _opening(F.col("_m"))), _token("W", F.when(F.size("_w") > 2, F.concat_ws(" ", F.slice("_w", 1, 2))))), lambda t: t.isNotNull()).alias("toks"),
-            _self_reference(F.col("_line"), F.col("_names")).alias("own"),
+            F.filter(F.array(_token("L", F.col("_m")), _token("S", _opening(F.col("_m"))), _token("W", F.when(F.size("_w") > 2, F.concat_ws(" ", F.slice("_w", 1, 2)))), _token("N", F.when(_self_reference(F.col("_line"), F.col("_names")), F.lit("site")))), lambda t: t.isNotNull()).alias("toks"),
             (F.trim("_line") == F.col("_title")).alias("head"),
         )
     )
@@ -128,11 +134,11 @@ def furniture(
     template = materialize(vectors.join(valid, ["_site", "n", "vec"], "left_semi").select("_site", "k", "t"), "page-template")
     template = bounded_broadcast(template)
     hit = lines.where("NOT head").select("_site", "_id", "pos", F.explode("toks").alias("x")).select("_site", "_id", "pos", "x.k", "x.t").join(template, ["_site", "k", "t"], "left_semi").select("_id", "pos")
-    first = materialize(hit.unionByName(lines.where("own AND NOT head").select("_id", "pos")).distinct(), "page-hits")
+    first = materialize(hit.distinct(), "page-hits")
     left = lines.where("NOT head").join(first, ["_id", "pos"], "left_anti").select("_id", "pos", "next", "ending")
     after = left.join(first.select("_id", F.col("pos").alias("next"), F.lit(1).alias("hit")), ["_id", "next"], "left")
     closed = after.groupBy("ending").agg(F.count("*").alias("n"), F.sum(F.when(F.col("next").isNull() | F.col("hit").isNotNull(), 1).otherwise(0)).alias("m"))
-    closed = materialize(closed.where((F.col("n") >= note_lines) & (F.col("m") >= F.col("n") * note_share)).select("ending"), "page-notes")
+    closed = materialize(closed.where(_lower_bound(F.col("m"), F.col("n")) >= note_share).select("ending"), "page-notes")
     notes = left.join(bounded_broadcast(closed), "ending", "left_semi").select("_id", "pos")
     gone = first.unionByName(notes).groupBy("_id").agg(F.collect_set("pos").alias("gone"))
     hosts_gone = hosts.select("_site", "_id", "_h", _token("U", F.col("_h")).alias("x")).select("_site", "_id", "_h", "x.k", "x.t").join(template, ["_site", "k", "t"], "left_semi").groupBy("_id").agg(F.collect_set("_h").alias("hosts_gone"))
