@@ -493,3 +493,12 @@ def test_messages_are_found_by_likeness_to_a_sample(spark):
         assert got <= want and len(got) >= 0.95 * len(want)
     none = {r.doc_id for r in residue.residue(df, p=residue.Likeness(sample_docs=0)).collect()}
     assert not none
+
+
+def test_rules_read_every_document(spark):
+    """Messages that come once, unlike all others, in a table of more documents than the former sample of 20,000."""
+    once = ["Traceback (most recent call last): x", "Veuillez activer les scripts", "Сторінку 12 не знайдено.", "ページが見つかりません。", "Acceso denegado", "Lorem ipsum dolor sit amet.", "blah blah blah", "TK TK TK", "Loading… one moment", "Fatal error: out of memory", "410 gone", "Zugriff verweigert"]
+    at = {999 + 4001 * i: x for i, x in enumerate(once)}
+    plain = spark.range(60_000).selectExpr("id AS doc_id", "concat('The council of ', conv(hash(id), 10, 36), ' met and talked about trams.') AS text").where(~F.col("doc_id").isin(list(at)))
+    df = plain.unionByName(spark.createDataFrame(list(at.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.label for r in residue.residue(df).collect()} == dict.fromkeys(at, "message")
