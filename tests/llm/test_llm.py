@@ -2,7 +2,9 @@ import json
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -502,3 +504,28 @@ def test_rules_read_every_document(spark):
     plain = spark.range(60_000).selectExpr("id AS doc_id", "concat('The council of ', conv(hash(id), 10, 36), ' met and talked about trams.') AS text").where(~F.col("doc_id").isin(list(at)))
     df = plain.unionByName(spark.createDataFrame(list(at.items()), "doc_id long, text string"))
     assert {r.doc_id: r.label for r in residue.residue(df).collect()} == dict.fromkeys(at, "message")
+
+
+@given(st.lists(st.sampled_from([*residue.TRIGGERS, *residue.FILLER_WORDS.split(), "404 not found", "é", "K", "İ", "٤", "—", "_", "5", ". ", " ", " ", " ", "the", "javascriptを有効に"]), min_size=1, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_rules_of_a_batch_are_those_of_a_sentence(parts):
+    flat = residue.split(" ".join(parts)) + residue.split("".join(parts)) + ["Lorem ipsum dolor", "x"]
+    joined = "\n".join(flat)
+    masked = residue._DIGITS.sub("0", joined.lower()).encode()
+    h, of, _, _ = residue.words(masked.split(b"\n"))
+    assert residue._messages(flat, joined, masked, h, of).tolist() == [residue.is_message(x) for x in flat]
+
+
+def test_sentences_without_labelled_words_are_passed_over(monkeypatch):
+    """Codes are made for the sentences only whose words come in labelled ones; all that are alike are found, and those alike to them."""
+    like = ["Please enable scripts to read this story now.", "Please enable scripts to read this story today in Oslo.", "Kindly enable scripts to read this story today in Oslo."]
+    texts = ["Please enable scripts to read this story.", *like, *(x for n in range(300) for x in story(n))]
+    coded, codes = [], residue._codes
+    monkeypatch.setattr(residue, "_codes", lambda v, starts: coded.append(len(starts)) or codes(v, starts))
+    batch = pa.RecordBatch.from_pydict({"_id": range(len(texts)), "text": texts, "sampled": [True] * len(texts)})
+    rows = next(residue._sentences(24)(iter([batch])))
+    assert len(rows) > 1500 and not coded
+    known = rows.slice(0, 1)
+    shared = SimpleNamespace(value=(known["h"].to_numpy(), *residue._flat(known["words"])))
+    found = [h for b in residue._lookup(shared, 10, 16, 16, 0.6)(iter([rows.slice(1).select(["h", "words"])])) for h in b["h"].to_pylist()]
+    assert found == rows["h"].to_pylist()[1:4] and sum(coded) < 30
