@@ -526,6 +526,21 @@ def test_sentences_without_labelled_words_are_passed_over(monkeypatch):
     rows = next(residue._sentences(24)(iter([batch])))
     assert len(rows) > 1500 and not coded
     known = rows.slice(0, 1)
-    shared = SimpleNamespace(value=(known["h"].to_numpy(), *residue._flat(known["words"])))
+    shared = SimpleNamespace(value=[residue._Block(known["h"].to_numpy(), *residue._flat(known["words"]), residue._partitions(16, 10))])
     found = [h for b in residue._lookup(shared, 10, 16, 16, 0.6)(iter([rows.slice(1).select(["h", "words"])])) for h in b["h"].to_pylist()]
     assert found == rows["h"].to_pylist()[1:4] and sum(coded) < 30
+
+
+def test_blocks_of_labelled_sentences_share_a_reading_of_the_corpus(spark, monkeypatch):
+    """The same rows whatever the number of blocks, and the corpus is read for many of them at once."""
+    rng, reads, lookup = random.Random(5), [], residue._lookup
+    name = lambda: "".join(rng.choice(["bel", "tor", "vin", "mar", "quo", "zan", "lis", "pel", "dor", "gra"]) for _ in range(3))
+    rows = [(i, f"Please enable JavaScript to read this story on {name()}." if i % 4 == 0 else f"Kindly allow JavaScript to read this story on {name()}." if i % 4 == 1 else " ".join(story(i, 2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(residue, "_lookup", lambda shared, *p: reads.append(len(shared.value)) or lookup(shared, *p))
+    got = {}
+    for block in (20_000, 4):
+        reads.clear()
+        got[block] = {r.doc_id for r in residue.residue(df, p=residue.Likeness(block=block)).collect()}
+    assert got[4] == got[20_000] == {i for i, _ in rows if i % 4 < 2}
+    assert sum(reads) > 30 and len(reads) <= sum(reads) / 16 + 4
